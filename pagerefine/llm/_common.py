@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagerefine.functions.shipping import ship
+
 #: Rows that one Python step turns into an output batch; bounds a worker's memory with long texts.
 ROWS_PER_STEP = 512
 
@@ -36,6 +38,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """mapInArrow, with this package on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def steps(batches: Iterator[pa.RecordBatch], rows: int = ROWS_PER_STEP) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut into slices of at most `rows` rows."""
     for batch in batches:

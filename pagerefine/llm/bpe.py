@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import steps
+from ._common import map_arrow, steps
 
 # The byte-level pre-token pattern, with white space as Unicode defines it.
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -190,7 +190,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return map_arrow(source, run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def bpe_decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -204,7 +204,7 @@ def bpe_decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["id", "text"])
 
     source = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-    return source.mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
+    return map_arrow(source, run, f"id {kind}, text string").withColumnRenamed("id", id_col)
 
 
 def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,4 +236,4 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return map_arrow(source, run, schema).withColumnRenamed("id", id_col)

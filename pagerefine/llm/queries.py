@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._common import documents
 from .bpe import bpe_round_trip
+from .language_id import identify_languages
 from .token_counts import token_counts
+from .warc import archive_round_trip
 
 
 def byte_bpe() -> str:
@@ -16,6 +18,10 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(documents(spark, sf_dir))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(documents(spark, sf_dir), byte_bpe())
 
@@ -24,8 +30,24 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), byte_bpe())
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op6_bpe": op6_bpe,
     "op7_token_counts": op7_token_counts,
+    "op10_warc": op10_warc,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op10_warc": """
+        WITH payloads AS (SELECT page_id, encode(coalesce(html, '')) AS p FROM pages),
+        hashed AS (SELECT page_id, octet_length(p) AS payload_bytes, sha1(p) AS h, min(page_id) OVER (PARTITION BY p) AS first FROM payloads)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+               list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (
+                   (CAST('0x' || substr(h, 5 * (i // 4) + 1, 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM hashed""",
 }
-ORACLE_SQL: dict[str, str] = {}

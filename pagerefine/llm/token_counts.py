@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import steps
+from ._common import map_arrow, steps
 from .bpe import CACHE_BYTES, CACHE_ENTRIES, PRE_TOKEN, Vocabulary
 
 #: Symbols that one ragged array holds at most, unless a single pre-token is longer.
@@ -123,5 +123,5 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: st
 
     text = F.col(text_col).cast("string")
     source = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
-    out = source.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long")
+    out = map_arrow(source, run, f"id {kind}, n_bytes long, n_tokens long")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
