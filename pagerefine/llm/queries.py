@@ -7,6 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from ._common import documents
 from .bpe import bpe_round_trip
 from .language_id import identify_languages
+from .quality_rules import ORACLE as QUALITY_ORACLE
+from .quality_rules import quality_rules
+from .secrets import ORACLE as SECRETS_ORACLE
+from .secrets import scan_secrets
 from .token_counts import token_counts
 from .warc import archive_round_trip
 
@@ -22,6 +26,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(documents(spark, sf_dir))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(documents(spark, sf_dir))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(documents(spark, sf_dir), byte_bpe())
 
@@ -30,17 +38,25 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), byte_bpe())
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(documents(spark, sf_dir))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op5_secrets": op5_secrets,
     "op6_bpe": op6_bpe,
     "op7_token_counts": op7_token_counts,
+    "op8_quality_rules": op8_quality_rules,
     "op10_warc": op10_warc,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op5_secrets": SECRETS_ORACLE,
+    "op8_quality_rules": QUALITY_ORACLE,
     "op10_warc": """
         WITH payloads AS (SELECT page_id, encode(coalesce(html, '')) AS p FROM pages),
         hashed AS (SELECT page_id, octet_length(p) AS payload_bytes, sha1(p) AS h, min(page_id) OVER (PARTITION BY p) AS first FROM payloads)
