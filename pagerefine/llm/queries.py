@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._common import documents
 from .bpe import bpe_round_trip
+from .decontamination import ORACLE as DECONTAMINATION_ORACLE
+from .decontamination import decontaminate
 from .language_id import identify_languages
 from .quality_rules import ORACLE as QUALITY_ORACLE
 from .quality_rules import quality_rules
@@ -42,6 +44,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -52,11 +58,13 @@ QUERIES = {
     "op6_bpe": op6_bpe,
     "op7_token_counts": op7_token_counts,
     "op8_quality_rules": op8_quality_rules,
+    "op9_decontamination": op9_decontamination,
     "op10_warc": op10_warc,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_secrets": SECRETS_ORACLE,
     "op8_quality_rules": QUALITY_ORACLE,
+    "op9_decontamination": DECONTAMINATION_ORACLE,
     "op10_warc": """
         WITH payloads AS (SELECT page_id, encode(coalesce(html, '')) AS p FROM pages),
         hashed AS (SELECT page_id, octet_length(p) AS payload_bytes, sha1(p) AS h, min(page_id) OVER (PARTITION BY p) AS first FROM payloads)
