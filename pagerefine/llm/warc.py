@@ -166,16 +166,17 @@ def mark_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """
     payload = F.coalesce(F.col(html_col).cast("string").cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload"))
-    keys = rows.select("page_id", "digest", F.octet_length("payload").alias("size"))
+    # Never null, so that the window and the join share one exchange of payloads.
+    key = F.coalesce(F.concat(F.lit("i"), F.col("page_id").cast("string")), F.lit("n"))
+    rows = rows.withColumns({"digest": F.sha1("payload"), "key": key})
+    keys = rows.select("page_id", "key", "digest", F.octet_length("payload").alias("size"))
     groups = keys.groupBy("digest", "size").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n"))
-    shared = groups.where((F.col("n") > 1) & (F.col("size") >= min_bytes)).select(F.col("digest").alias("d"), "refers_to")
-    members = keys.join(shared, F.col("digest") == F.col("d")).select(F.col("page_id").alias("p"), "d", "refers_to").distinct()
-    joined = rows.join(members, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left")
-    order = Window.partitionBy("page_id", "digest").orderBy("url")
-    joined = joined.withColumn("rn", F.row_number().over(order))
+    shared = groups.where((F.col("n") > 1) & (F.col("size") >= min_bytes)).select("digest", "refers_to")
+    members = keys.join(shared, "digest").select("key", "digest", "refers_to", F.lit(True).alias("shared")).distinct()
+    order = Window.partitionBy("key", "digest").orderBy("url")
+    joined = rows.withColumn("rn", F.row_number().over(order)).join(members, ["key", "digest"], "left")
     first = F.col("page_id").eqNullSafe(F.col("refers_to")) & (F.col("rn") == 1)
-    revisit = F.col("d").isNotNull() & ~first
+    revisit = F.col("shared").isNotNull() & ~first
     return joined.select("page_id", "url", "payload", revisit.alias("revisit"), F.when(revisit, F.col("refers_to")).alias("refers_to"))
 
 
