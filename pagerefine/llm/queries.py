@@ -8,6 +8,7 @@ from ._common import documents
 from .bpe import bpe_round_trip
 from .decontamination import ORACLE as DECONTAMINATION_ORACLE
 from .decontamination import decontaminate
+from .jaccard_join import similar_groups
 from .language_id import identify_languages
 from .quality_rules import ORACLE as QUALITY_ORACLE
 from .quality_rules import quality_rules
@@ -28,6 +29,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(documents(spark, sf_dir))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(documents(spark, sf_dir), width=3, percent=90)
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(documents(spark, sf_dir))
 
@@ -54,6 +59,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op5_secrets": op5_secrets,
     "op6_bpe": op6_bpe,
     "op7_token_counts": op7_token_counts,
