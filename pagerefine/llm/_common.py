@@ -30,14 +30,29 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df below the shared folder and read it back: cuts the lineage, survives lost executors."""
+#: A table of at most so many narrow rows is broadcast; a larger one is shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df below the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    The table has at most four files for each core of the cluster, so that small ones don't become thousands; where
+    the number of rows is known, one for each half million at most.
+    """
     spark, schema = df.sparkSession, df.schema
     path = new_path(spark, name)
-    df.write.parquet(path)
+    most = 4 * spark.sparkContext.defaultParallelism
+    files = most if rows is None else min(most, 1 + rows // 500_000)
+    df.coalesce(files).write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """A stored table, to be broadcast if its rows, counted from Parquet footers, are few enough, else shuffled."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     """mapInArrow, with this package on the executors."""
     ship(df.sparkSession)

@@ -1,7 +1,7 @@
 """Benchmark decontamination with a distributed positional inverted index, in DataFrame operations alone.
 
 Postings say where a term stands in a document. A term at place q of an item and at position p of a document votes
-for the offset p - q; lists adjusted so are intersected, first those of each window's two rarest terms, then, in the
+for the offset p - q; lists adjusted so are intersected, first those of each window's rarest terms, then, in the
 few documents that are left, those of all terms. Runs of places at one offset are exact phrases; many places of an
 item at nearly one offset are a proximity match.
 """
@@ -11,23 +11,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower, stored
+from ._common import ascii_lower, bounded, stored
 
 # Fixed value: what separates words, once A-Z are lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A table of at most so many rows (some ten bytes each) is broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 500_000
+#: How many of a window's words, the rarest, are looked for first.
+ANCHORS = 3
 
 
 def words_of(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), SEPARATORS), lambda w: w != "")
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it is small enough; counts a stored table's rows, which reads only Parquet footers."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc, h, t: h tells apart texts under a repeated id."""
     text = F.col(text_col).cast("string")
@@ -48,16 +43,16 @@ def item_terms(items: DataFrame, id_col: str, text_col: str, size: int) -> DataF
 
 
 def rarest_terms(terms: DataFrame, counts: DataFrame) -> DataFrame:
-    """item, q, term, need: of each window the two rarest words by the corpus's counts; windows with a word that the
-    corpus lacks can't occur and have none. need: how many of them a window has."""
+    """item, s, q, term: of each window the ANCHORS rarest words by the corpus's counts; windows with a word that the
+    corpus lacks can't occur and have none."""
     counted = terms.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     first = F.greatest(F.lit(0), F.col("q") - F.col("span") + 1)
     last = F.least(F.col("q"), F.col("length") - F.col("span"))
     windows = counted.withColumn("s", F.explode(F.sequence(first, last)))
-    whole = Window.partitionBy("item", "s")
+    whole = Window.partitionBy("item", "length", "s")
     windows = windows.withColumn("least", F.min("n").over(whole)).where("least > 0")
-    windows = windows.withColumn("rn", F.row_number().over(whole.orderBy("n", "term", "q"))).where("rn <= 2")
-    return windows.select("item", "q", "term", F.least(F.lit(2), F.col("span")).alias("need")).distinct()
+    windows = windows.withColumn("rn", F.row_number().over(whole.orderBy("n", "term", "q"))).where(F.col("rn") <= ANCHORS)
+    return windows.select("item", "s", "q", "term")
 
 
 def grids(offset: Column, slop: int) -> Column:
@@ -82,12 +77,16 @@ def find_matches(
     vocabulary = stored(terms.select("term").distinct(), "item-vocabulary")
     counts = postings(rows, vocabulary).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     anchors = stored(rarest_terms(terms, counts), "anchors")
+    windows = anchors.groupBy("item", "s").agg(F.sort_array(F.collect_set("q")).alias("w"))
+    windows = stored(windows.groupBy("item").agg(F.collect_set("w").alias("windows")), "anchored-windows").withColumnRenamed("item", "i")
+    anchors = stored(anchors.select("item", "q", "term").distinct(), "anchor-terms")
 
-    index = stored(postings(rows, anchors.select("term").distinct()), "postings")
+    index = stored(postings(rows, stored(anchors.select("term").distinct(), "anchor-vocabulary")), "postings")
     votes = index.join(bounded(anchors), "term").withColumn("at", F.explode(grids(F.col("pos") - F.col("q"), slop)))
-    group = ["doc", "h", "item", "need", "at"]
-    votes = votes.select(*group, "q").distinct().groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where("n >= need")
-    likely = stored(votes.select("doc", "h", "item", "at").distinct(), "likely")
+    votes = votes.groupBy("doc", "h", "item", "at").agg(F.collect_set("q").alias("qs"))
+    whole = F.exists("windows", lambda w: F.size(F.array_except(w, F.col("qs"))) == 0)
+    likely = votes.join(bounded(windows), F.col("item").eqNullSafe(F.col("i"))).where(whole)
+    likely = stored(likely.select("doc", "h", "item", "at"), "likely")
 
     # All lists, in the documents that are left.
     left = stored(likely.select(F.col("doc").alias("d"), F.col("h").alias("x")).distinct(), "likely-documents")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import binary, map_arrow, steps, stored
+from ._common import binary, bounded, map_arrow, steps, stored
 from .graph import connected_components
 
 # Odd multipliers and the finalizer that mix the hashes of a shingle's words.
@@ -223,7 +223,10 @@ def set_sizes(docs: DataFrame, width: int) -> DataFrame:
 
 
 def most_frequent(blocks: DataFrame, values: str, counts: str, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The values of the blocks with the highest sums of counts, sorted by value, and the sums: at most `most`."""
+    """The values of the blocks with the highest sums of counts, sorted by value, and the sums: at most `most`.
+
+    A histogram of sixteenths of powers of two tells from which sum on there are few enough; only those are fetched.
+    """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -233,7 +236,15 @@ def most_frequent(blocks: DataFrame, values: str, counts: str, least: int, most:
                     yield pa.RecordBatch.from_arrays([pa.array(v[i : i + (1 << 16)]), pa.array(c[i : i + (1 << 16)])], ["value", "n"])
 
     rows = map_arrow(blocks.select(values, counts).where(F.col(values).isNotNull()), spread, "value long, n long")
-    top = rows.groupBy("value").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "value").limit(most).toArrow()
+    totals = stored(rows.groupBy("value").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "totals")
+    step = F.floor(F.log2("n") * 16)
+    so_far, cut = 0, None
+    for r in totals.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect():
+        so_far += r.n
+        if so_far > most:
+            break
+        cut = r.step
+    top = totals.where(step >= F.lit(cut)).toArrow() if cut is not None else totals.limit(0).toArrow()
     found = top["value"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(found)
     return found[order], top["n"].to_numpy()[order]
@@ -249,12 +260,16 @@ def token_order(sizes: DataFrame) -> TokenOrder:
 
 
 def signature_rows(docs: DataFrame, width: int, threshold: Threshold, order: TokenOrder) -> DataFrame:
-    """sig, role, sid, n, place, small of every set; a set that a task meets again is left out there."""
+    """sig, space, set of every set; a set that a task meets again is left out there.
+
+    space tells frequent singles from the rest. set is the set's id and four bytes each of n, place and flags (role
+    and whether small), packed so that all who read the rows can share one exchange.
+    """
     spread = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        names = ["sig", "role", "sid", "n", "place", "small"]
+        row = np.dtype([("sid", "V16"), ("n", ">i4"), ("place", ">i4"), ("flags", ">i4")])
         for b in steps(batches, 128):
             own: list[tuple] = []
             for text in binary(b.column(1)):
@@ -267,22 +282,29 @@ def signature_rows(docs: DataFrame, width: int, threshold: Threshold, order: Tok
             if not own:
                 continue
             counts = [len(x[2]) for x in own]
-            sid = pa.array([x[0] for x in own], pa.binary()).take(pa.array(np.repeat(np.arange(len(own)), counts)))
-            parts = [np.concatenate([x[k] for x in own]) for k in range(2, 6)]
-            columns = [
-                pa.array(parts[0].view(np.int64)), pa.array(parts[2].astype(np.int32)), sid, pa.array(np.repeat([x[1] for x in own], counts).astype(np.int32)),
-                pa.array(parts[1].astype(np.int32)), pa.array(parts[3]),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            sig, place, role, small = (np.concatenate([x[k] for x in own]) for k in range(2, 6))
+            packed = np.empty(len(sig), row)
+            packed["sid"] = np.repeat(np.array([x[0] for x in own], "V16"), counts)
+            packed["n"], packed["place"], packed["flags"] = np.repeat([x[1] for x in own], counts), place, role * 2 + small
+            sets = pa.Array.from_buffers(pa.binary(packed.itemsize), len(packed), [None, pa.py_buffer(packed)])
+            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(role > 0), sets.cast(pa.binary())], ["sig", "space", "set"])
+
+    return map_arrow(docs.select("doc", "text"), run, "sig long, space boolean, set binary")
+
 
-    return map_arrow(docs.select("doc", "text"), run, "sig long, role int, sid binary, n int, place int, small boolean")
+def unpacked(rows: DataFrame) -> DataFrame:
+    """sig, space, sid, n, place, small, role of packed rows."""
+    part = lambda at, size=4: F.substring("set", at, size)
+    number = lambda at: F.conv(F.hex(part(at)), 16, 10).cast("int")
+    flags = number(25)
+    return rows.select("sig", "space", part(1, 16).alias("sid"), number(17).alias("n"), number(21).alias("place"), (flags % 2 == 1).alias("small"), F.floor(flags / 2).cast("int").alias("role"))
 
 
 def token_sets(docs: DataFrame, first: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     """sid, tokens of the sets in pairs(a, b), made from the first document of each: only their texts are moved."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(first, "sid")
     wanted = stored(wanted.select("sid", F.col("doc").alias("first")), "wanted-sets")
-    texts = docs.join(wanted.select("first").distinct(), F.col("doc").eqNullSafe(F.col("first")), "left_semi")
+    texts = docs.join(bounded(wanted.select("first")), F.col("doc").eqNullSafe(F.col("first")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, 128):
@@ -331,11 +353,14 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     first = sizes.where("sid is not null").groupBy("sid").agg(F.min("doc").alias("doc"))
 
     # Signatures that several sets share. Frequent singles meet in a space of their own, and only if one has role 2.
-    index = stored(signature_rows(rows, width, threshold, order), "signatures").withColumn("space", F.col("role") > 0)
-    mark = F.xxhash64("sid")
-    shared = index.groupBy("sig", "space").agg(F.min(mark).alias("low"), F.max(mark).alias("high"), F.max("role").alias("top"))
-    shared = shared.where("low <> high and (not space or top = 2)").select("sig", "space")
-    members = stored(index.join(shared, ["sig", "space"], "left_semi").dropDuplicates(["sig", "space", "sid"]), "members")
+    index = signature_rows(rows, width, threshold, order)
+    index = index.repartition(F.col("sig"), F.col("space"))
+    mark = F.xxhash64(F.substring("set", 1, 16))
+    double = (F.substring("set", 28, 1) >= F.lit(b"\x04")).cast("int")
+    shared = index.groupBy("sig", "space").agg(F.min(mark).alias("low"), F.max(mark).alias("high"), F.max(double).alias("top"))
+    shared = shared.where("low <> high and (not space or top = 1)").select("sig", "space")
+    members = unpacked(index.join(shared, ["sig", "space"], "left_semi"))
+    members = stored(members, "members").dropDuplicates(["sig", "space", "sid"])
 
     # Of each, the set whose shared token comes first, hence the least edited one, is the hub.
     columns = ("sid", "n", "place", "small", "role")

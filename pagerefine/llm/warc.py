@@ -145,12 +145,14 @@ def read_archive(stream) -> Iterator[bytes]:
 
 
 def train_dictionary(pages: DataFrame, id_col: str, html_col: str) -> bytes:
-    """A dictionary from at most SAMPLE_PAGES pages, those with the smallest hashes of their ids, of bounded bytes each.
+    """A dictionary from about SAMPLE_PAGES pages, those with the smallest hashes of their ids, of bounded bytes each.
 
     It only helps compression; too few or too small samples give none.
     """
-    sample = pages.select(F.substring(F.col(html_col).cast("string"), 1, SAMPLE_BYTES).alias("html"), F.xxhash64(id_col).alias("h"))
-    rows = [r.html.encode() for r in sample.where("length(html) > 8").orderBy("h").limit(SAMPLE_PAGES).collect()]
+    share = SAMPLE_PAGES / max(1, pages.count())
+    sample = pages.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 40)) < F.lit(int(share * (1 << 40))))
+    sample = sample.select(F.substring(F.col(html_col).cast("string"), 1, SAMPLE_BYTES).alias("html")).where("length(html) > 8")
+    rows = [r.html.encode() for r in sample.limit(4 * SAMPLE_PAGES).collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, rows).as_bytes() if len(rows) >= 8 else b""
     except zstandard.ZstdError:
