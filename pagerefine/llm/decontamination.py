@@ -16,7 +16,7 @@ from ._common import ascii_lower, bounded, stored
 # Fixed value: what separates words, once A-Z are lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: How many of a window's words, the rarest, are looked for first.
-ANCHORS = 3
+ANCHORS = 2
 
 
 def words_of(text: Column) -> Column:
