@@ -122,10 +122,11 @@ class BlobLedger:
         blobs = all_.groupBy("blob").agg(F.min("path").alias("first"))
         todo = unseen_pairs(blobs, rules, self.pairs()).select(F.col("blob").alias("b"), "first", "kinds")
         texts = all_.join(todo, F.col("path").eqNullSafe(F.col("first")) & (F.col("blob") == F.col("b"))).select("blob", "text", "kinds")
-        scan_blobs(texts, rules).write.mode("append").parquet(f"{self.folder}/findings")
+        few = 4 * self.spark.sparkContext.defaultParallelism
+        scan_blobs(texts, rules).coalesce(few).write.mode("append").parquet(f"{self.folder}/findings")
         version = F.coalesce(*(F.when(F.col("kind") == r.kind, r.version) for r in rules))
         done = todo.select(F.col("b").alias("blob"), F.explode("kinds").alias("kind")).withColumn("version", version)
-        done.write.mode("append").parquet(f"{self.folder}/pairs")
+        done.coalesce(few).write.mode("append").parquet(f"{self.folder}/pairs")
 
 
 def secret_report(versions: DataFrame, ledger: BlobLedger, rules: tuple[Rule, ...] = RULES, path_col: str = "doc_id", text_col: str = "text") -> DataFrame:
