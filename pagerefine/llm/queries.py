@@ -14,6 +14,7 @@ from .quality_rules import ORACLE as QUALITY_ORACLE
 from .quality_rules import quality_rules
 from .secrets import ORACLE as SECRETS_ORACLE
 from .secrets import scan_secrets
+from .substring_dedup import repeated_passages
 from .token_counts import token_counts
 from .warc import archive_round_trip
 
@@ -33,6 +34,10 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(documents(spark, sf_dir), width=3, percent=90)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(documents(spark, sf_dir))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(documents(spark, sf_dir))
 
@@ -60,6 +65,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_secrets": op5_secrets,
     "op6_bpe": op6_bpe,
     "op7_token_counts": op7_token_counts,
