@@ -10,6 +10,7 @@ from .decontamination import ORACLE as DECONTAMINATION_ORACLE
 from .decontamination import decontaminate
 from .jaccard_join import similar_groups
 from .language_id import identify_languages
+from .licenses import scan_licenses
 from .quality_rules import ORACLE as QUALITY_ORACLE
 from .quality_rules import quality_rules
 from .secrets import ORACLE as SECRETS_ORACLE
@@ -34,6 +35,10 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(documents(spark, sf_dir), width=3, percent=90)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(documents(spark, sf_dir))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(documents(spark, sf_dir))
 
@@ -65,6 +70,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_license_scan": op3_license_scan,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_secrets": op5_secrets,
     "op6_bpe": op6_bpe,
