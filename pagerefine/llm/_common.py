@@ -53,7 +53,7 @@ def bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     """mapInArrow, with this package on the executors."""
     ship(df.sparkSession)
     return df.mapInArrow(function, schema)

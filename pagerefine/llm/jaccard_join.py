@@ -393,3 +393,14 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
         F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc")).otherwise(F.col("component_id")).alias("component_id"),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
     )
+
+
+def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that name their group, all columns as they were: one document of each group stays.
+
+    Rows that repeat an id stay or go together.
+    """
+    groups = similar_groups(docs, width, percent)
+    other = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return rows.join(bounded(stored(other, "copies")), F.col("row.doc_id").eqNullSafe(F.col("gone")), "left_anti").select("row.*")

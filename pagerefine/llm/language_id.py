@@ -154,3 +154,14 @@ def identify_languages(docs: DataFrame, size: int = 300, per_language: int = 100
     """Learn from the documents that aren't held out, and predict all: doc_id, held_out, lang_pred, score."""
     profiles = fit_profiles(docs.where(~held_out(F.col("doc_id"))), size=size, per_language=per_language)
     return predict_language(docs, profiles).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text has a language, all columns as they were; null texts and those without a letter go."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in steps(batches):
+            yield b.filter(pa.array([profiles.predict(t)[0] != UNKNOWN for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return map_arrow(docs, run, docs.schema)

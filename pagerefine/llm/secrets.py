@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from ._common import new_path
+from ._common import BROADCAST_ROWS, new_path, stored
 
 
 def either_case(word: str) -> str:
@@ -167,7 +167,9 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str =
     names = docs.columns
     inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
     ledger.scan(inner.select(F.col("row.doc_id").alias("path"), F.col("row.text").alias("text")), rules)
-    spans = ledger.findings(rules).groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    found = stored(ledger.findings(rules), "findings")
+    spans = found.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    spans = F.broadcast(spans) if found.count() <= BROADCAST_ROWS else spans
     rows = inner.withColumn("blob", content_address(F.col("row.text"))).join(spans, "blob", "left")
     text = F.col("row.text")
 
