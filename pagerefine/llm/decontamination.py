@@ -92,12 +92,13 @@ def find_matches(
     left = stored(likely.select(F.col("doc").alias("d"), F.col("h").alias("x")).distinct(), "likely-documents")
     same = F.col("doc").eqNullSafe(F.col("d")) & (F.col("h") == F.col("x"))
     lists = postings(rows.join(bounded(left), same, "left_semi"), vocabulary)
-    places = lists.join(bounded(terms), "term").withColumn("offset", F.col("pos") - F.col("q"))
-    places = places.withColumn("at", F.explode(grids(F.col("offset"), slop)))
-    asked = likely.select(F.col("doc").alias("d"), F.col("h").alias("x"), F.col("item").alias("i"), F.col("at").alias("a"))
-    on = same & F.col("item").eqNullSafe(F.col("i")) & (F.col("at") == F.col("a"))
+    asked = likely.select(F.col("doc").alias("d"), F.col("h").alias("x"), F.col("item").alias("i"), "at")
+    asked = asked.join(bounded(terms), F.col("i").eqNullSafe(F.col("item"))).drop("i").withColumnRenamed("term", "asked")
+    asked = stored(asked, "asked-terms")
+    places = lists.join(bounded(asked), same & (F.col("term") == F.col("asked"))).withColumn("offset", F.col("pos") - F.col("q"))
+    places = places.where(F.array_contains(grids(F.col("offset"), slop), F.col("at")))
     # A posting counts once at an offset, also where an id and its text are repeated.
-    found = places.join(asked, on, "left_semi").select("doc", "h", "item", "length", "span", "at", "offset", "q").distinct()
+    found = places.select("doc", "h", "item", "length", "span", "at", "offset", "q").distinct()
     found = stored(found, "places")
 
     run = Window.partitionBy("doc", "h", "item", "offset").orderBy("q")
