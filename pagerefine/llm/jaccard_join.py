@@ -32,10 +32,13 @@ _FINAL = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 #: Texts are counted in blocks of about so many words, which bounds a worker's memory.
 BLOCK_WORDS = 4 << 20
-#: A token is in the frequent class if one block holds it in so many sets, and the blocks' sum is high enough.
-BLOCK_LEAST, FREQUENT = 3, 12
+#: A token is in the frequent class if one block holds it in so many sets, and the blocks' sum is high enough; a
+#: word counts if one block holds it so often.
+BLOCK_TOKENS, BLOCK_WORD, FREQUENT = 2, 3, 12
 #: At most so many frequent tokens and words, those with the highest counts, are told apart; the rest rank as rare.
 FREQUENT_TOKENS, COMMON_WORDS = 400_000, 200_000
+#: Bits of a set's parity sketch.
+SKETCH_BITS = 1024
 #: A prefix with more frequent tokens indexes them singly instead of in combinations.
 COMBINED = 48
 
@@ -76,6 +79,12 @@ def set_id(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
+def parity_sketch(tokens: np.ndarray) -> np.ndarray:
+    """Bit b tells whether an odd number of tokens falls on b; two sketches differ in as many bits as sets do at most."""
+    odd = np.bincount((tokens & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 @dataclass(frozen=True)
 class Threshold:
     """Similarity of percent / 100, in whole numbers."""
@@ -177,21 +186,23 @@ def frequent(parts: list[np.ndarray], least: int) -> tuple[bytes, bytes]:
 
 
 def set_sizes(docs: DataFrame, width: int) -> DataFrame:
-    """doc, sid (null for an empty set), n; on a block's last row also its frequent tokens and words with counts."""
+    """doc, sid (null for an empty set), n, sketch; on a block's last row also its frequent tokens and words with counts."""
     kind = docs.schema["doc"].dataType.simpleString()
-    names = ["doc", "sid", "n", "tokens", "token_counts", "words", "word_counts"]
+    names = ["doc", "sid", "n", "sketch", "tokens", "token_counts", "words", "word_counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         tokens: list[np.ndarray] = []
         words: list[np.ndarray] = []
 
-        def out(ids, sids, sizes, found=None):
+        def out(ids, sids, sizes, sketches, found=None):
             at_end = [pa.array([found[k] if found and i == len(sids) - 1 else None for i in range(len(sids))], pa.binary()) for k in range(4)]
-            return pa.RecordBatch.from_arrays([ids, pa.array(sids, pa.binary()), pa.array(sizes, pa.int64()), *at_end], names)
+            width = SKETCH_BITS // 64
+            drawn = pa.ListArray.from_arrays(pa.array(np.arange(0, width * len(sids) + 1, width, dtype=np.int32)), pa.array(np.concatenate(sketches)))
+            return pa.RecordBatch.from_arrays([ids, pa.array(sids, pa.binary()), pa.array(sizes, pa.int64()), drawn, *at_end], names)
 
         def counts():
-            found = (*frequent(tokens, BLOCK_LEAST), *frequent(words, BLOCK_LEAST))
+            found = (*frequent(tokens, BLOCK_TOKENS), *frequent(words, BLOCK_WORD))
             for x in (seen, tokens, words):
                 x.clear()
             return found
@@ -200,25 +211,26 @@ def set_sizes(docs: DataFrame, width: int) -> DataFrame:
         for b in steps(batches):
             if last is not None:
                 yield out(*last)
-            sids, sizes = [], []
+            sids, sizes, sketches = [], [], []
             for text in binary(b.column(1)):
                 w = word_hashes(text)
                 t = distinct(windows(w, width))
                 sizes.append(len(t))
                 sids.append(set_id(t) if len(t) else None)
+                sketches.append(parity_sketch(t))
                 if len(t) and sids[-1] not in seen:
                     seen.add(sids[-1])
                     tokens.append(t)
                     words.append(w)
                     held += len(w)
-            last = (b.column(0), sids, sizes)
+            last = (b.column(0), sids, sizes, sketches)
             if held > BLOCK_WORDS:
                 yield out(*last, counts())
                 held, last = 0, None
         if last is not None:
             yield out(*last, counts())
 
-    schema = f"doc {kind}, sid binary, n long, tokens binary, token_counts binary, words binary, word_counts binary"
+    schema = f"doc {kind}, sid binary, n long, sketch array<long>, tokens binary, token_counts binary, words binary, word_counts binary"
     return map_arrow(docs.select("doc", "text"), run, schema)
 
 
@@ -319,6 +331,15 @@ def token_sets(docs: DataFrame, first: DataFrame, pairs: DataFrame, width: int)
     return stored(sets.join(wanted.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]), "token-sets")
 
 
+def unlike_left_out(pairs: DataFrame, sketches: DataFrame, threshold: Threshold) -> DataFrame:
+    """The pairs (a, b) whose sketches don't differ in more bits than similar sets of their sizes may."""
+    left = sketches.select(F.col("sid").alias("a"), F.col("n").alias("n"), F.col("sketch").alias("x"))
+    right = sketches.select(F.col("sid").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("y"))
+    both = pairs.join(left, "a").join(right, "b")
+    differ = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    return both.where(differ <= F.col("n") + F.col("n2") - 2 * _overlap(threshold)).select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, by counting their common tokens."""
     left = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("x"))
@@ -328,11 +349,15 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFra
     return both.where(F.lit(100) * F.col("common") >= F.lit(threshold.percent) * (F.col("total") - F.col("common"))).select("a", "b")
 
 
+def _overlap(threshold: Threshold):
+    """The least overlap of similar sets of n and n2 tokens."""
+    return F.ceil(F.lit(threshold.percent) * (F.col("n") + F.col("n2")) / F.lit(100 + threshold.percent) - F.lit(1e-9))
+
+
 def _possible(threshold: Threshold):
     """Whether two rows (n, place, small) and (n2, place2, small2) that share a signature could be similar."""
     t = threshold.percent
-    needed = F.ceil(F.lit(t) * (F.col("n") + F.col("n2")) / F.lit(100 + t) - F.lit(1e-9))
-    fits = (F.lit(100) * F.least("n", "n2") >= F.lit(t) * F.greatest("n", "n2")) & (F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) >= needed)
+    fits = (F.lit(100) * F.least("n", "n2") >= F.lit(t) * F.greatest("n", "n2")) & (F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) >= _overlap(threshold))
     indexed = ((F.col("n") <= F.col("n2")) & F.col("small")) | ((F.col("n2") <= F.col("n")) & F.col("small2"))
     return fits & indexed & ((F.col("role") != 1) | (F.col("role2") != 1))
 
@@ -351,15 +376,16 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     sizes = stored(set_sizes(rows, width), "set-sizes")
     order = token_order(sizes)
     first = sizes.where("sid is not null").groupBy("sid").agg(F.min("doc").alias("doc"))
+    sketches = sizes.where("sid is not null").select("sid", "n", "sketch").dropDuplicates(["sid"])
 
     # Signatures that several sets share. Frequent singles meet in a space of their own, and only if one has role 2.
     index = signature_rows(rows, width, threshold, order)
-    index = index.repartition(F.col("sig"), F.col("space"))
+    index = index.where("sig is not null and space is not null").repartition(F.col("sig"), F.col("space"))
     mark = F.xxhash64(F.substring("set", 1, 16))
     double = (F.substring("set", 28, 1) >= F.lit(b"\x04")).cast("int")
     shared = index.groupBy("sig", "space").agg(F.min(mark).alias("low"), F.max(mark).alias("high"), F.max(double).alias("top"))
     shared = shared.where("low <> high and (not space or top = 1)").select("sig", "space")
-    members = unpacked(index.join(shared, ["sig", "space"], "left_semi"))
+    members = unpacked(index.join(shared, ["sig", "space"]))  # a semi join would move below the exchange
     members = stored(members, "members").dropDuplicates(["sig", "space", "sid"])
 
     # Of each, the set whose shared token comes first, hence the least edited one, is the hub.
@@ -367,7 +393,8 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     hub = members.groupBy("sig", "space").agg(F.min(F.struct("place", "n", "sid", "small", "role")).alias("hub"))
     hub = hub.select("sig", "space", *(F.col(f"hub.{c}").alias(f"{c}2") for c in columns))
     stars = members.join(hub, ["sig", "space"]).where("sid <> sid2").where(_possible(threshold))
-    pairs = stored(stars.select(F.least("sid", "sid2").alias("a"), F.greatest("sid", "sid2").alias("b")).distinct(), "star-pairs")
+    pairs = stars.select(F.least("sid", "sid2").alias("a"), F.greatest("sid", "sid2").alias("b")).distinct()
+    pairs = stored(unlike_left_out(pairs, sketches, threshold), "star-pairs")
     links = stored(verified(pairs, token_sets(rows, first, pairs, width), threshold), "star-links")
     groups = connected_components(links)
 
@@ -380,7 +407,7 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     other = left.select("sig", "space", *(F.col(c).alias(f"{c}2") for c in (*columns, "component")))
     rest = left.join(other, ["sig", "space"]).where("sid < sid2 and component <> component2").where(_possible(threshold))
     rest = rest.select(F.col("sid").alias("a"), F.col("sid2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    rest = stored(rest, "open-pairs")
+    rest = stored(unlike_left_out(rest, sketches, threshold), "open-pairs")
     more = stored(verified(rest, token_sets(rows, first, rest, width), threshold), "more-links")
     final = groups if more.isEmpty() else connected_components(links.unionByName(more))
 
