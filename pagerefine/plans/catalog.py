@@ -1,10 +1,675 @@
-"""Named queries over the driver's tables, with equivalent SQL where there is one."""
+"""Named queries over the driver's tables, with equivalent SQL where there is one.
+
+Texts of the tables hardly exercise the rewrites, so most queries first build noisy texts with one SQL expression that
+both engines read alike.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagerefine.functions import clean, frontmatter, links, quality
+from pagerefine.functions.text import clipped, is_blank, rounded, size_kb, slug, tokens, trimmed
+from pagerefine.operators import crawl, extract, render, route, store
+from pagerefine.sources import tables
+
+DAY = "2024-05-01"
+NEWLINE = "chr(10)"
+
+#: A text with every feature that the rewrites look for.
+NOISY = (
+    "concat('# H', doc_id, chr(10), substr(text, 1, 200), chr(13), chr(10), '* item one', chr(10), '+ item two', chr(10), "
+    "'see *this* now  and **bold** or ***x***', chr(10), chr(10), chr(10), chr(10), '[a](https://e.com/', doc_id, ') [b]() ![](img.png) "
+    '<div class="x">z</div> <!-- c\', chr(10), \'c --> d\', chr(10), \'```js\', chr(10), \'code  here\', chr(10), \'```\', chr(10), '
+    "'snake_case_word __dunder__ “q” ‘s’ en–dash em—dash zero\u200bwidth\ufeff', chr(9), ' ', chr(10), '~~~py', chr(10), 'x', chr(10), '~~~', chr(10), "
+    "substr(text, 201, 300), '   ', chr(10), '1. one', chr(10), '    nested  list   ****', chr(10), '## Two', chr(10), 'after', chr(10), '- last ')"
+)
+#: A text with links of all kinds, some twice.
+LINKED = (
+    "concat('---', chr(10), 'title: \"T', doc_id, '\"', chr(10), '---', chr(10), chr(10), '[one](https://a.example/', doc_id % 7, ') and [two](http://b.example/', doc_id, ') ', "
+    "'[again](https://a.example/', doc_id % 7, ') ![pic](https://img.example/p.png) [mail](mailto:x@y.z) [rel](/x) [anchor](#a) [ftp](ftp://f) ', substr(text, 1, 100), "
+    "' [last](https://c.example/', doc_id % 3, ' \"t\")')"
+)
+#: Whole stored files; some without a header, some with an empty title, some with Windows line ends.
+FILES = (
+    "concat(case when doc_id % 11 = 0 then '' else concat('---', case when doc_id % 13 = 0 then chr(13) else '' end, chr(10), 'title: ', "
+    "case when doc_id % 5 = 0 then '' else concat('\"Title ', doc_id, '\"') end, chr(10), 'source_url: https://e.com/', doc_id, chr(10), 'fetched_date: 2024-05-', "
+    "lpad(concat(1 + doc_id % 28), 2, '0'), chr(10), 'type: web', chr(10), 'status: temporary', chr(10), "
+    "case when doc_id % 3 = 0 then concat('query: \"q ', doc_id, '\"', chr(10)) else '' end, '---', chr(10), chr(10)) end, text)"
+)
+
+
+def documents(spark: SparkSession, sf_dir: str, expression: str = NOISY, name: str = "x") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn(name, F.expr(expression)).select("doc_id", "text", name)
+
+
+def _noisy_sql(expression: str = NOISY) -> str:
+    return f"(SELECT doc_id, text, {expression} AS x FROM documents)"
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query, with SQL for the same rows."""
+
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def per_document(name: str, column: Callable[[Column], Column], sql: Callable[[str], str], expression: str = NOISY) -> None:
+    """A query of one column over texts built by an expression."""
+    QUERIES[name] = lambda spark, sf_dir: documents(spark, sf_dir, expression).select("doc_id", column(F.col("x")).alias("y"))
+    ORACLE_SQL[name] = f"SELECT doc_id, {sql('x')} AS y FROM {_noisy_sql(expression)}"
+
+
+# --- clean-up -------------------------------------------------------------------------------------------------------
+for _stage, _steps in (("structure", clean.STRUCTURE), ("content", clean.CONTENT), ("finish", clean.FINISH)):
+    for _step in _steps:
+        per_document(f"clean_{_stage}_{_step.name}", _step.column, _step.sql)
+per_document("clean_structure", clean.clean_structure, lambda x: clean.stage_sql("structure", x))
+per_document("clean_content", clean.clean_content, lambda x: clean.stage_sql("content", x))
+per_document("clean_finish", clean.clean_finish, lambda x: clean.stage_sql("finish", x))
+
+
+@query(
+    "clean_full",
+    f"""WITH a AS (SELECT doc_id, {clean.stage_sql("structure", "x")} AS x FROM {_noisy_sql()}), b AS (SELECT doc_id, {clean.stage_sql("content", "x")} AS x FROM a)
+        SELECT doc_id, {clean.stage_sql("finish", "x")} AS y FROM b""",
+)
+def clean_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", clean.clean_markdown(F.col("x")).alias("y"))
+
+
+_BLANKS = f"CASE WHEN doc_id % 3 = 0 THEN concat(' ', chr(10), chr(9), chr(10), ' ') WHEN doc_id % 3 = 1 THEN '' ELSE {NOISY} END"
+
+
+@query(
+    "clean_blank_guard",
+    f"""WITH s AS (SELECT doc_id, x AS o, regexp_matches(x, '[^{clean.WHITE}]') AS ok, x FROM {_noisy_sql(_BLANKS)}),
+        a AS (SELECT doc_id, o, ok, {clean.stage_sql("structure", "x")} AS x FROM s), b AS (SELECT doc_id, o, ok, {clean.stage_sql("content", "x")} AS x FROM a)
+        SELECT doc_id, CASE WHEN ok THEN {clean.stage_sql("finish", "x")} ELSE o END AS y FROM b""",
+)
+def clean_blank_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir, _BLANKS).select("doc_id", clean.clean_markdown(F.col("x")).alias("y"))
+
+
+# --- quality --------------------------------------------------------------------------------------------------------
+_COUNT = lambda x, p: f"CAST(len(regexp_extract_all({x}, '{p}')) AS BIGINT)"
+_STRIPPED = f"regexp_replace(x, '{quality.TAG_OR_EMPTY}', '', 'g')"
+_MEASURED = f"""
+    SELECT id, {_COUNT("x", quality.TAG)} AS n_tags, {_COUNT("x", quality.TABLE_TAG)} AS n_table, {_COUNT("x", quality.SCRIPT)} AS n_script,
+           {_COUNT("x", quality.STYLE)} AS n_style, {_COUNT("x", quality.NEWLINES)} AS n_newlines, length(x) AS n_chars, length(x) - length({_STRIPPED}) AS html_chars,
+           length(regexp_replace(regexp_replace({_STRIPPED}, '{quality.MARKS}', '', 'g'), '{clean.TRIM}', '', 'g')) AS content
+    FROM SCORED"""
+#: Raw pages, articles, and texts with long blank stretches, script and table tags: all rules come up.
+_VARIANTS = (
+    "case page_id % 5 when 0 then html when 1 then substr(html, 1, 500) when 2 then concat(substr(html, 1, 300), repeat(concat(repeat(chr(10), 6), 'more '), 15)) "
+    "when 3 then concat(repeat('<tr><td>c</td></tr>', 30), substr(html, 1, 200)) else repeat('<div>x</div>', page_id % 12) end"
+)
+_SCORED = f"(SELECT page_id AS id, {_VARIANTS} AS x FROM pages)"
+_SHARE = "CASE WHEN n_chars > 0 THEN html_chars / n_chars ELSE 0 END"
+_TENTHS = "coalesce((html_chars * 2000 + n_chars) // nullif(2 * n_chars, 0), 0)"
+_SCORES = f"""
+    m AS ({_MEASURED.replace("SCORED", _SCORED)}), s AS (SELECT *, {_SHARE} AS share, {_TENTHS} AS p, content < 200 AND (n_tags > 50 OR n_table > 20) AS thin FROM m),
+    b AS (SELECT *, 100 - (CASE WHEN n_tags > 100 THEN 40 WHEN n_tags > 50 THEN 20 WHEN n_tags > 10 THEN 5 ELSE 0 END) - (CASE WHEN n_table > 50 THEN 30 ELSE 0 END)
+          - (CASE WHEN share > 0.3 THEN 25 WHEN share > 0.15 THEN 10 ELSE 0 END) - (CASE WHEN n_script > 0 THEN 15 ELSE 0 END) - (CASE WHEN n_style > 0 THEN 10 ELSE 0 END) AS before FROM s),
+    r AS (SELECT *, (CASE WHEN content = 0 THEN 0 WHEN content < 50 THEN before - 50 WHEN thin THEN before - 30 WHEN content < 300 THEN before - 15 ELSE before END)
+          - (CASE WHEN n_newlines > 10 THEN 5 ELSE 0 END) AS raw FROM b),
+    q AS (SELECT *, CAST(greatest(0, raw) AS BIGINT) AS score, raw >= 60 AS is_valid, (p // 10) || '.' || (p % 10) AS pct FROM r),
+    t AS (SELECT id, score, is_valid, list_filter([
+            CASE WHEN n_tags > 100 THEN n_tags || ' leftover HTML tags found (likely forum/discussion thread)' END,
+            CASE WHEN n_table > 50 THEN n_table || ' unconverted table tags (complex layout not suitable)' END,
+            CASE WHEN share > 0.3 THEN pct || '% of content is HTML tags' END,
+            CASE WHEN content = 0 THEN 'Blank content - no text extracted' WHEN content < 50 THEN 'Extremely short content (' || content || ' chars) - likely extraction failure'
+                 WHEN thin THEN 'Only ' || content || ' chars of actual content with excessive HTML (extraction likely failed)' END], lambda v: v IS NOT NULL) AS issues,
+          list_filter([
+            CASE WHEN n_tags > 50 AND n_tags <= 100 THEN n_tags || ' HTML tags present' WHEN n_tags > 10 AND n_tags <= 50 THEN n_tags || ' minor HTML tags present' END,
+            CASE WHEN share > 0.15 AND share <= 0.3 THEN pct || '% HTML tag ratio' END,
+            CASE WHEN n_script > 0 THEN n_script || ' script tags present' END, CASE WHEN n_style > 0 THEN n_style || ' style tags present' END,
+            CASE WHEN content >= 50 AND NOT thin AND content < 300 THEN 'Short content (' || content || ' chars) - may not be a full article' END,
+            CASE WHEN n_newlines > 10 THEN n_newlines || ' sections with excessive newlines' END], lambda v: v IS NOT NULL) AS warnings FROM q)"""
+
+
+def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("id"), F.expr(_VARIANTS).alias("x"))
+
+
+def _measure_query(name: str, keys: tuple[str, ...]) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = quality.measures(F.col("x"))
+        return _variants(spark, sf_dir).select("id", *(found[k].cast("long").alias(k) for k in keys))
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = f"SELECT id, {', '.join(keys)} FROM ({_MEASURED.replace('SCORED', _SCORED)})"
+
+
+for _name, _keys in (
+    ("q_tag_count", ("n_tags",)), ("q_table_tags", ("n_table",)), ("q_script", ("n_script",)), ("q_style", ("n_style",)), ("q_newlines", ("n_newlines",)), ("q_content_len", ("content",)),
+):
+    _measure_query(_name, _keys)
+
+
+@query("q_html_ratio", f"SELECT id, CAST({_TENTHS} AS BIGINT) AS tenths FROM ({_MEASURED.replace('SCORED', _SCORED)})")
+def q_html_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = quality.measures(F.col("x"))
+    return _variants(spark, sf_dir).select("id", F.coalesce(quality.percent(m["html_chars"], m["n_chars"]), F.lit(0).cast("long")).alias("tenths"))
+
+
+@query("q_score", f"WITH {_SCORES} SELECT id, score, is_valid FROM t")
+def q_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_variants(spark, sf_dir), "x").select("id", F.col("quality.score").cast("long").alias("score"), "quality.is_valid")
+
+
+@query("q_messages", f"WITH {_SCORES} SELECT id, array_to_string(issues, '|') AS issues, array_to_string(warnings, '|') AS warnings FROM t")
+def q_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = lambda c: F.array_join(f"quality.{c}", "|").alias(c)
+    return quality.score(_variants(spark, sf_dir), "x").select("id", joined("issues"), joined("warnings"))
+
+
+@query(
+    "q_report",
+    f"""WITH {_SCORES} SELECT id, '**Quality Score**: ' || score || '/100 ' || (CASE WHEN score >= 90 THEN '✅ Excellent' WHEN score >= 75 THEN '✅ Good' WHEN score >= 60 THEN '⚠️ Acceptable'
+        ELSE '❌ Poor' END) || (CASE WHEN len(issues) > 0 THEN chr(10) || chr(10) || '**Issues**:' || chr(10) || array_to_string(list_transform(issues, lambda v: '- ' || v || chr(10)), '') ELSE '' END)
+        || (CASE WHEN len(warnings) > 0 THEN chr(10) || '**Warnings**:' || chr(10) || array_to_string(list_transform(warnings, lambda v: '- ' || v || chr(10)), '') ELSE '' END) AS report FROM t""",
+)
+def q_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = quality.report(F.col("quality.score"), F.col("quality.issues"), F.col("quality.warnings"))
+    return quality.score(_variants(spark, sf_dir), "x").select("id", report.alias("report"))
+
+
+# --- pages ----------------------------------------------------------------------------------------------------------
+@query("pages_scan", "SELECT page_id, url, length(html) AS n_chars, CAST(200 AS BIGINT) AS http_status FROM pages")
+def pages_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.pages(spark, sf_dir).select("page_id", "url", F.length("html").cast("long").alias("n_chars"), F.col("http_status").cast("long").alias("http_status"))
+
+
+_STATUS = "CASE page_id % 4 WHEN 0 THEN 200 WHEN 1 THEN 404 WHEN 2 THEN 503 ELSE 299 END"
+
+
+@query(
+    "http_error_text",
+    f"""SELECT page_id, CASE WHEN s NOT BETWEEN 200 AND 299 THEN 'HTTP ' || s || ': Text' END AS error, length(CASE WHEN s BETWEEN 200 AND 299 THEN html ELSE '' END) AS n_chars
+        FROM (SELECT *, {_STATUS} AS s FROM pages)""",
+)
+def http_error_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = tables.pages(spark, sf_dir).withColumns({"http_status": F.expr(_STATUS), "status_text": F.lit("Text")})
+    return tables.with_http_errors(raw).select("page_id", "error", F.length("html").cast("long").alias("n_chars"))
+
+
+_TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
+
+
+def _page_title() -> Column:
+    return F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+
+
+@query("title_extract", f"SELECT page_id, {_TITLE} AS title FROM pages")
+def title_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.pages(spark, sf_dir).select("page_id", _page_title().alias("title"))
+
+
+@query("article_slice", "SELECT page_id, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS article FROM pages")
+def article_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.pages(spark, sf_dir).select("page_id", F.regexp_extract("html", "(?s)<article>(.*?)</article>", 1).alias("article"))
+
+
+@query("comment_strip", "SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS html FROM pages")
+def comment_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.pages(spark, sf_dir).select("page_id", extract.remove_comments(F.col("html")).alias("html"))
+
+
+_META = {"byline": "CASE WHEN page_id % 2 = 0 THEN concat('By ', page_id) END", "site": "CASE WHEN page_id % 3 = 0 THEN '' WHEN page_id % 3 = 1 THEN 'Site' END", "summary": "CASE WHEN page_id % 5 = 0 THEN 'Sum' END"}
+
+
+@query(
+    "md_header",
+    f"""SELECT page_id, '# ' || {_TITLE} || chr(10) || chr(10) || coalesce('**By:** ' || nullif(byline, '') || chr(10) || chr(10), '') || coalesce('**Source:** ' || nullif(site, '') || chr(10) || chr(10), '')
+        || coalesce('**Summary:** ' || nullif(summary, '') || chr(10) || chr(10), '') || '**URL:** ' || url || chr(10) || chr(10) || '---' || chr(10) || chr(10) AS header
+        FROM (SELECT *, {", ".join(f"{e} AS {n}" for n, e in _META.items())} FROM pages)""",
+)
+def md_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables.pages(spark, sf_dir).withColumns({n: F.expr(e) for n, e in _META.items()})
+    return rows.select("page_id", extract.header(_page_title(), F.col("byline"), F.col("site"), F.col("summary"), F.col("url")).alias("header"))
+
+
+# --- routes ---------------------------------------------------------------------------------------------------------
+#: Scores of all kinds, errors, and rendered pages that are missing, broken, worse, equal or better.
+_CASES = (
+    "SELECT page_id, CASE WHEN page_id % 13 = 0 THEN 'HTTP 500: x' END AS fetch_error, CASE WHEN page_id % 17 = 0 THEN 'no article' END AS extract_error, "
+    "CAST((page_id * 7) % 101 AS INT) AS score, CASE WHEN page_id % 5 = 0 THEN 'gone' END AS r_fetch_error, CASE WHEN page_id % 11 = 0 THEN 'no article' END AS r_extract_error, "
+    "CAST(CASE WHEN page_id % 7 = 0 THEN (page_id * 7) % 101 ELSE (page_id * 31) % 101 END AS INT) AS r_score FROM pages"
+)
+
+
+def _reason_sql(forced: str) -> str:
+    return (
+        f"CASE WHEN {forced} THEN 'forced' WHEN fetch_error IS NOT NULL THEN 'network_error' WHEN extract_error IS NOT NULL THEN 'extraction_failed' WHEN score >= 85 THEN NULL "
+        "WHEN score >= 60 THEN 'quality_marginal' ELSE 'quality_too_low' END"
+    )
+
+
+_ROUTED = f"""
+    SELECT *, CASE WHEN why IS NULL OR (why = 'quality_marginal' AND NOT coalesce(r_success AND r_score > score, false)) THEN 'simple' ELSE 'rendered' END AS picked FROM (
+    SELECT *, r_fetch_error IS NULL AND r_extract_error IS NULL AND r_score >= 60 AS r_success FROM (SELECT *, {_reason_sql("false")} AS why FROM ({_CASES})))"""
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.read.parquet(f"{sf_dir}/pages.parquet").createOrReplaceTempView("__route_pages")
+    rows = spark.sql(_CASES.replace("FROM pages", "FROM __route_pages"))
+    why = route.reason(F.col("fetch_error"), F.col("extract_error"), F.col("score"), 60, 85)
+    outcome = route.rendered_outcome(F.col("r_fetch_error"), F.col("r_extract_error"), F.col("r_score"), 60)
+    rows = rows.withColumn("why", why).withColumns({f"r_{k}": v for k, v in outcome.items()})
+    return rows.withColumn("picked", route.pick(F.col("why"), F.col("score"), F.col("r_success"), F.col("r_score")))
+
+
+@query("route_simple", f"SELECT page_id, why IS NULL AS accepted FROM ({_ROUTED})")
+def route_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cases(spark, sf_dir).select("page_id", F.col("why").isNull().alias("accepted"))
+
+
+@query("route_reason", f"SELECT page_id, why FROM ({_ROUTED})")
+def route_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cases(spark, sf_dir).select("page_id", "why")
+
+
+@query("route_forced", f"SELECT page_id, {_reason_sql('page_id % 2 = 0')} AS why FROM ({_CASES})")
+def route_forced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    why = route.reason(F.col("fetch_error"), F.col("extract_error"), F.col("score"), 60, 85, F.col("page_id") % 2 == 0)
+    return _cases(spark, sf_dir).select("page_id", why.alias("why"))
+
+
+@query("route_marginal_pick", f"SELECT page_id, picked FROM ({_ROUTED}) WHERE why = 'quality_marginal'")
+def route_marginal_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cases(spark, sf_dir).where("why = 'quality_marginal'").select("page_id", "picked")
+
+
+@query(
+    "route_final",
+    f"""SELECT page_id, picked, CASE WHEN picked = 'simple' THEN true ELSE r_success END AS success,
+        CASE WHEN picked = 'rendered' THEN CASE WHEN r_fetch_error IS NOT NULL THEN 'Playwright fetch failed: ' || r_fetch_error WHEN r_extract_error IS NOT NULL THEN r_extract_error
+             WHEN r_score < 60 THEN 'Content quality too low (' || r_score || '/100) even with JavaScript rendering' END END AS error,
+        CASE WHEN picked = 'rendered' AND r_fetch_error IS NULL AND r_extract_error IS NULL AND r_score < 60 THEN '{route.SUGGESTION}' END AS suggestion,
+        CASE WHEN picked = 'rendered' AND r_fetch_error IS NULL AND r_extract_error IS NULL THEN true END AS used_rendered FROM ({_ROUTED})""",
+)
+def route_final(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rendered = F.col("picked") == "rendered"
+    own = lambda c: F.when(rendered, F.col(f"r_{c}")).alias(c)
+    success = F.when(rendered, F.col("r_success")).otherwise(F.lit(True)).alias("success")
+    return _cases(spark, sf_dir).select("page_id", "picked", success, own("error"), own("suggestion"), own("used_rendered"))
+
+
+# --- slugs and header blocks ----------------------------------------------------------------------------------------
+_SLUG = lambda t: f"substr(regexp_replace(regexp_replace(lower({t}), '[^a-z0-9]+', '-', 'g'), '\\A-|-\\z', '', 'g'), 1, 60)"
+
+
+@query("slugify", f"SELECT page_id, {_SLUG(_TITLE)} AS slug FROM pages")
+def slugify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.pages(spark, sf_dir).select("page_id", slug(_page_title()).alias("slug"))
+
+
+_BATCH = f"SELECT page_id AS seq, substr({_TITLE}, 1, 3 + CAST(page_id % 9 AS INT)) AS title, concat('https://e.com/', page_id % 97) AS url, concat('body ', page_id) AS content, CASE WHEN page_id % 4 = 0 THEN concat('q \"', page_id, '\"') END AS query, page_id % 6 = 0 AS refetch FROM pages"
+
+
+def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.read.parquet(f"{sf_dir}/pages.parquet").createOrReplaceTempView("__batch_pages")
+    return spark.sql(_BATCH.replace("FROM pages", "FROM __batch_pages"))
+
+
+@query(
+    "slug_last_write",
+    f"SELECT slug, max(page_id) AS page_id, count(*) AS n FROM (SELECT page_id, {_SLUG(f'substr({_TITLE}, 1, 6)')} AS slug FROM pages) GROUP BY slug",
+)
+def slug_last_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables.pages(spark, sf_dir).select("page_id", slug(F.substring(_page_title(), 1, 6)).alias("slug"))
+    return rows.groupBy("slug").agg(F.max("page_id").alias("page_id"), F.count(F.lit(1)).alias("n"))
+
+
+_QUOTE = lambda x: f"""'"' || replace({x}, '"', '\\"') || '"'"""
+_ENCODED = lambda status="temporary": (
+    f"'---' || chr(10) || 'title: ' || {_QUOTE('title')} || chr(10) || 'source_url: ' || url || chr(10) || 'fetched_date: {DAY}' || chr(10) || 'type: web' || chr(10) || 'status: {status}' || chr(10) || "
+    f"(CASE WHEN coalesce(query, '') <> '' THEN 'query: ' || {_QUOTE('query')} || chr(10) ELSE '' END) || '---' || chr(10) || chr(10) || content"
+)
+
+
+@query("fm_encode", f"SELECT seq, {_ENCODED()} AS value FROM ({_BATCH})")
+def fm_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = frontmatter.encode(F.col("title"), F.col("url"), F.lit(DAY), F.col("query"), F.col("content"))
+    return _batch(spark, sf_dir).select("seq", text.alias("value"))
+
+
+_BLOCK = r"\A---\n((?s:.*?))\n---"
+_TRIM_SQL = lambda x: f"regexp_replace({x}, '{clean.TRIM}', '', 'g')"
+
+
+def _value_sql(block: str, key: str) -> str:
+    found = _TRIM_SQL(f"regexp_extract({block}, '{frontmatter.value_pattern(key)}', 1)")
+    return _TRIM_SQL(f"regexp_replace({found}, '\\A[\"'']|[\"'']\\z', '', 'g')")
+
+
+_DECODED = f"""
+    SELECT doc_id, 'doc-' || doc_id AS ref_id, {_value_sql("b", "title")} AS title, {_value_sql("b", "source_url")} AS url, {_value_sql("b", "fetched_date")} AS fetched_date,
+           length(x) AS size, nullif({_value_sql("b", "query")}, '') AS query, x
+    FROM (SELECT *, regexp_extract(x, '{_BLOCK}', 1) AS b FROM {_noisy_sql(FILES)} WHERE regexp_matches(x, '{_BLOCK}'))"""
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir, FILES).select("doc_id", F.concat(F.lit("doc-"), F.col("doc_id"), F.lit(".md")).alias("file_name"), F.col("x").alias("value"))
+
+
+def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _files(spark, sf_dir).select(F.lit("temporary").alias("status"), F.concat(F.lit(".tmp/"), "file_name").alias("filepath"), "value")
+
+
+_REF = ["ref_id", "title", "url", "fetched_date", "size", "query"]
+
+
+@query("fm_decode", f"SELECT {', '.join(_REF)} FROM ({_DECODED})")
+def fm_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frontmatter.decode(_files(spark, sf_dir)).select(*_REF)
+
+
+@query("fm_strip", f"SELECT doc_id, regexp_replace(x, '{frontmatter.BLOCK_AND_LINES}', '') AS body FROM {_noisy_sql(FILES)}")
+def fm_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _files(spark, sf_dir).select("doc_id", frontmatter.strip(F.col("value")).alias("body"))
+
+
+@query("fm_missing_skipped", f"SELECT count(*) AS n, count(*) FILTER (NOT regexp_matches(x, '{_BLOCK}')) AS skipped FROM {_noisy_sql(FILES)}")
+def fm_missing_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _files(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.count_if(~frontmatter.has_block(F.col("value"))).alias("skipped"))
+
+
+# --- store ----------------------------------------------------------------------------------------------------------
+@query("cache_list_sorted", f"SELECT row_number() OVER (ORDER BY fetched_date DESC, ref_id) AS place, {', '.join(_REF)}, '.tmp/' || ref_id || '.md' AS filepath FROM ({_DECODED})")
+def cache_list_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The place is a global rank, which the sorted list itself doesn't need.
+    from pyspark.sql import Window
+
+    found = store.list_references(_state(spark, sf_dir))
+    return found.withColumn("place", F.row_number().over(Window.orderBy(F.desc("fetched_date"), "ref_id")).cast("long"))
+
+
+_URLS = "SELECT DISTINCT 'https://e.com/' || (doc_id * 3) AS url FROM documents"
+
+
+@query("find_by_url", f"SELECT u.url, ref_id, '.tmp/' || ref_id || '.md' AS filepath FROM ({_URLS}) u LEFT JOIN ({_DECODED}) d ON u.url = d.url")
+def find_by_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    urls = documents(spark, sf_dir).select(F.concat(F.lit("https://e.com/"), F.col("doc_id") * 3).alias("url")).distinct()
+    return store.find_by_url(_state(spark, sf_dir), urls)
+
+
+_IDS = "SELECT 'doc-' || (doc_id * 2) AS ref_id FROM documents WHERE doc_id % 4 = 0"
+
+
+def _ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).where("doc_id % 4 = 0").select(F.concat(F.lit("doc-"), F.col("doc_id") * 2).alias("ref_id"))
+
+
+@query("find_by_ref", f"SELECT i.ref_id, url, CASE WHEN d.ref_id IS NOT NULL THEN '.tmp/' || d.ref_id || '.md' END AS filepath FROM ({_IDS}) i LEFT JOIN ({_DECODED}) d ON i.ref_id = d.ref_id")
+def find_by_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.find_by_ref(_state(spark, sf_dir), _ids(spark, sf_dir))
+
+
+_SAVED = f"""
+    WITH d AS ({_DECODED}), k AS (SELECT url, min_by(ref_id, row(ref_id)) AS ref FROM d GROUP BY url),
+    b AS (SELECT *, {_SLUG("title")} AS slug FROM ({_BATCH})),
+    r AS (SELECT b.*, coalesce(k.ref, first(b.slug) OVER (PARTITION BY b.url ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS known FROM b LEFT JOIN k USING (url)),
+    s AS (SELECT *, known IS NOT NULL AND NOT refetch AS already_exists FROM r),
+    saved AS (SELECT *, CASE WHEN already_exists THEN known ELSE slug END AS ref_id, '.tmp/' || coalesce(known, slug) || '.md' AS filepath FROM s)"""
+
+
+def _save(spark: SparkSession, sf_dir: str, refetch: bool | None = None) -> tuple[DataFrame, DataFrame]:
+    batch = _batch(spark, sf_dir)
+    batch = batch if refetch is None else batch.withColumn("refetch", F.lit(refetch))
+    return store.save(_state(spark, sf_dir), batch, F.lit(DAY))
+
+
+@query("save_results", f"{_SAVED} SELECT seq, url, ref_id, filepath, already_exists, CAST(NULL AS VARCHAR) AS error FROM saved")
+def save_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _save(spark, sf_dir)[0]
+
+
+def _after_sql(saved: str) -> str:
+    return f"""{saved}, w AS (SELECT *, row_number() OVER (PARTITION BY filepath ORDER BY seq DESC) AS rn FROM saved WHERE NOT already_exists),
+        fresh AS (SELECT 'temporary' AS status, filepath, {_ENCODED()} AS value FROM w WHERE rn = 1),
+        old AS (SELECT 'temporary' AS status, '.tmp/doc-' || doc_id || '.md' AS filepath, x AS value FROM {_noisy_sql(FILES)})
+        SELECT * FROM fresh UNION ALL SELECT * FROM old WHERE filepath NOT IN (SELECT filepath FROM fresh)"""
+
+
+@query("save_upsert", _after_sql(_SAVED))
+def save_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _save(spark, sf_dir)[1]
+
+
+@query("save_refetch", _after_sql(_SAVED.replace(f"FROM ({_BATCH})", f"FROM (SELECT * REPLACE (true AS refetch) FROM ({_BATCH}))")))
+def save_refetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _save(spark, sf_dir, True)[1]
+
+
+@query(
+    "promote",
+    f"""SELECT i.ref_id, d.ref_id IS NOT NULL AS success, coalesce('.tmp/' || d.ref_id || '.md', '') AS from_path, coalesce('docs/ai/references/' || d.ref_id || '.md', '') AS to_path,
+        CASE WHEN d.ref_id IS NULL THEN 'Reference ' || i.ref_id || ' not found in .tmp' END AS error FROM (SELECT DISTINCT ref_id FROM ({_IDS})) i LEFT JOIN ({_DECODED}) d ON i.ref_id = d.ref_id""",
+)
+def promote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.promote(_state(spark, sf_dir), _ids(spark, sf_dir))[0]
+
+
+_FOUND = f"(SELECT d.ref_id FROM ({_DECODED}) d WHERE d.ref_id IN ({_IDS}))"
+
+
+@query(
+    "promote_state",
+    f"""SELECT CASE WHEN p THEN 'permanent' ELSE 'temporary' END AS status, CASE WHEN p THEN 'docs/ai/references/' ELSE '.tmp/' END || 'doc-' || doc_id || '.md' AS filepath,
+        CASE WHEN p THEN regexp_replace(x, '(?m)^status:[{clean.WHITE}]*temporary$', 'status: permanent') ELSE x END AS value
+        FROM (SELECT *, 'doc-' || doc_id IN (SELECT ref_id FROM {_FOUND}) AS p FROM {_noisy_sql(FILES)})""",
+)
+def promote_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.promote(_state(spark, sf_dir), _ids(spark, sf_dir))[1]
+
+
+@query("promote_missing", "SELECT 'no-such' AS ref_id, false AS success, '' AS from_path, '' AS to_path, 'Reference no-such not found in .tmp' AS error")
+def promote_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.promote(_state(spark, sf_dir), spark.createDataFrame([("no-such",)], "ref_id string"))[0]
+
+
+@query("delete", f"SELECT 'temporary' AS status, '.tmp/doc-' || doc_id || '.md' AS filepath, x AS value FROM {_noisy_sql(FILES)} WHERE 'doc-' || doc_id NOT IN (SELECT ref_id FROM {_FOUND})")
+def delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.delete(_state(spark, sf_dir), _ids(spark, sf_dir))[1]
+
+
+@query("delete_missing", "SELECT 'no-such' AS ref_id, false AS success, '' AS filepath, 'Reference no-such not found in .tmp' AS error")
+def delete_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.delete(_state(spark, sf_dir), spark.createDataFrame([("no-such",)], "ref_id string"))[0]
+
+
+# --- links and crawl ------------------------------------------------------------------------------------------------
+_BODY = f"SELECT doc_id, regexp_replace(x, '{frontmatter.BLOCK_AND_LINES}', '') AS b FROM {_noisy_sql(LINKED)}"
+_ALL = f"""SELECT doc_id, i AS pos, t[i] AS text, h[i] AS href FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM (
+    SELECT doc_id, regexp_extract_all(b, '{links.LINK}', 1) AS t, regexp_extract_all(b, '{links.LINK}', 2) AS h FROM ({_BODY})))"""
+_WEB = f"SELECT * FROM ({_ALL}) WHERE href LIKE 'http://%' OR href LIKE 'https://%'"
+_UNIQUE = f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS pos, text, href FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, href ORDER BY pos) AS rn FROM ({_WEB})) WHERE rn = 1"
+
+
+def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir, LINKED).select("doc_id", frontmatter.strip(F.col("x")).alias("b"))
+
+
+def _exploded(spark: SparkSession, sf_dir: str, keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    rows = _bodies(spark, sf_dir).select("doc_id", F.posexplode(links.links(F.col("b"))).alias("pos", "x"))
+    rows = rows.select("doc_id", (F.col("pos") + 1).cast("long").alias("pos"), "x.text", "x.href")
+    return rows if keep is None else rows.where(keep(F.col("href")))
+
+
+@query("links_all", f"SELECT doc_id, pos, text, href FROM ({_ALL})")
+def links_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _exploded(spark, sf_dir)
+
+
+@query("links_http", f"SELECT doc_id, pos, text, href FROM ({_WEB})")
+def links_http(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _exploded(spark, sf_dir, links.is_web)
+
+
+@query("links_dedup", f"SELECT doc_id AS source_ref, CAST(pos AS BIGINT) AS pos, text, href FROM ({_UNIQUE})")
+def links_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.exploded(_bodies(spark, sf_dir), "doc_id", "b").withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("links_count", f"SELECT 'doc-' || doc_id AS source_ref, count(*) AS count, CAST(NULL AS VARCHAR) AS error FROM ({_UNIQUE}) GROUP BY doc_id UNION ALL SELECT 'none', 0, 'Reference none not found in .tmp'")
+def links_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir, LINKED)
+    state = rows.select(F.lit("temporary").alias("status"), F.concat(F.lit(".tmp/doc-"), "doc_id", F.lit(".md")).alias("filepath"), F.col("x").alias("value"))
+    asked = rows.select(F.concat(F.lit("doc-"), "doc_id").alias("ref_id")).union(spark.createDataFrame([("none",)], "ref_id string"))
+    return store.reference_links(state, asked)[0]
+
+
+_HOPS = f"SELECT page_id AS pos, concat('https://e.com/', (page_id * 5) % 311) AS href FROM pages"
+_FETCHED = f"SELECT concat('https://e.com/', page_id) AS url, page_id % 8 <> 0 AS success, {_TITLE} AS title, concat('body ', page_id) AS markdown, CASE WHEN page_id % 8 = 0 THEN 'HTTP 404: Not Found' END AS error FROM pages"
+_CRAWLED = f"""
+    WITH d AS ({_DECODED}), k AS (SELECT url, min(ref_id) AS ref FROM d GROUP BY url),
+    f AS ({_FETCHED}), rows AS (SELECT l.pos, l.href, coalesce(f.success, false) AS ok, f.title, f.error, {_SLUG("f.title")} AS slug FROM ({_HOPS}) l LEFT JOIN f ON f.url = l.href),
+    r AS (SELECT rows.*, coalesce(k.ref, first(rows.slug) OVER (PARTITION BY ok, href ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS known FROM rows LEFT JOIN k ON k.url = href),
+    out AS (SELECT pos, href AS url, CASE WHEN NOT ok THEN 'failed' WHEN known IS NOT NULL THEN 'cached' ELSE 'new' END AS status,
+            CASE WHEN ok THEN coalesce(known, slug) END AS ref_id, CASE WHEN NOT ok THEN coalesce(error, 'page not found') END AS error FROM r)"""
+
+
+def _crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.read.parquet(f"{sf_dir}/pages.parquet").createOrReplaceTempView("__crawl_pages")
+    own = lambda sql: spark.sql(sql.replace("FROM pages", "FROM __crawl_pages"))
+    return crawl.fetch_links(_state(spark, sf_dir), own(_HOPS), own(_FETCHED), F.lit(DAY))[0]
+
+
+@query("crawl_status", f"{_CRAWLED} SELECT * FROM out")
+def crawl_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _crawl(spark, sf_dir)
+
+
+@query("crawl_summary", f"{_CRAWLED} SELECT count(*) FILTER (status = 'new') AS new, count(*) FILTER (status = 'cached') AS cached, count(*) FILTER (status = 'failed') AS failed FROM out")
+def crawl_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crawl.summary(_crawl(spark, sf_dir))
+
+
+@query(
+    "render_crawl",
+    f"""{_CRAWLED} SELECT pos, CASE status WHEN 'new' THEN 'new: ' || ref_id WHEN 'cached' THEN 'cached: ' || ref_id ELSE 'failed: ' || url || ' - ' || error END AS line,
+        CASE status WHEN 'new' THEN '✓ ' || ref_id || ' (new)' WHEN 'cached' THEN '○ ' || ref_id || ' (already cached)' ELSE '✗ ' || substr(url, 1, 50) || '... (' || error || ')' END AS pretty FROM out""",
+)
+def render_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [F.col(c) for c in ("status", "ref_id", "url", "error")]
+    return _crawl(spark, sf_dir).select("pos", render.crawled(*parts).alias("line"), render.crawled(*parts, pretty=True).alias("pretty"))
+
+
+# --- rendering ------------------------------------------------------------------------------------------------------
+_CLIP = lambda x, n: f"CASE WHEN length({x}) > {n} THEN substr({x}, 1, {n}) || '...' ELSE {x} END"
+_LONG = "concat('https://e.com/', repeat('p', CAST(doc_id % 90 AS INT)))"
+
+
+@query("truncations", f"SELECT doc_id, {_CLIP('text', 50)} AS t50, {_CLIP('u', 60)} AS t60, {_CLIP('text', 150)} AS t150 FROM (SELECT *, {_LONG} AS u FROM documents)")
+def truncations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir, _LONG, "u")
+    return rows.select("doc_id", clipped(F.col("text"), 50).alias("t50"), clipped(F.col("u"), 60).alias("t60"), clipped(F.col("text"), 150).alias("t150"))
+
+
+@query("token_estimate", "SELECT doc_id, CAST(floor(length(text) / 4 + 0.5) AS BIGINT) AS tokens FROM documents")
+def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", tokens(F.col("text")).alias("tokens"))
+
+
+@query("size_kb", "SELECT doc_id, CAST(floor(length(text) / 1024 + 0.5) AS BIGINT) AS kb FROM documents")
+def size_kb_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", size_kb(F.length("text")).alias("kb"))
+
+
+@query(
+    "size_reduction",
+    "SELECT page_id, CAST(floor(length(html) / 4 + 0.5) AS BIGINT) AS html_tokens, CAST(floor(length(regexp_extract(html, '(?s)<article>(.*?)</article>', 1)) / 4 + 0.5) AS BIGINT) AS article_tokens FROM pages",
+)
+def size_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    article = F.regexp_extract("html", "(?s)<article>(.*?)</article>", 1)
+    return tables.pages(spark, sf_dir).select("page_id", tokens(F.col("html")).alias("html_tokens"), tokens(article).alias("article_tokens"))
+
+
+@query("render_list", f"""SELECT ref_id, ref_id || ' | ' || {_CLIP("title", 50)} || chr(10) || '  Date: ' || fetched_date || ' | Size: ' || CAST(floor(size / 1024 + 0.5) AS BIGINT) || 'KB' || chr(10) || '  URL: ' || {_CLIP("url", 60)} AS line FROM ({_DECODED})""")
+def render_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = store.list_references(_state(spark, sf_dir))
+    return found.select("ref_id", render.listed(*(F.col(c) for c in ("ref_id", "title", "fetched_date", "size", "url"))).alias("line"))
+
+
+@query("render_links", f"SELECT doc_id AS source_ref, CAST(pos AS BIGINT) AS pos, text || ' | ' || href AS line FROM ({_UNIQUE})")
+def render_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = links.exploded(_bodies(spark, sf_dir), "doc_id", "b")
+    return found.select("source_ref", F.col("pos").cast("long").alias("pos"), render.link(F.col("text"), F.col("href")).alias("line"))
+
+
+@query("render_summary", f"{_SAVED} SELECT seq, ref_id || '|' || filepath AS summary, 'Already cached: ' || ref_id || chr(10) || 'Filepath: ' || filepath || chr(10) || 'Use --refetch to update' AS already FROM saved")
+def render_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, ref, path = _save(spark, sf_dir)[0], F.col("ref_id"), F.col("filepath")
+    return found.select("seq", render.saved_summary(ref, path).alias("summary"), render.already_text(ref, path).alias("already"))
+
+
+@query(
+    "render_saved",
+    f"""SELECT page_id, 'Cached: s' || page_id || chr(10) || 'Title: ' || {_TITLE} || coalesce(chr(10) || 'Author: ' || nullif(byline, ''), '') || coalesce(chr(10) || 'Source: ' || nullif(site, ''), '')
+        || coalesce(chr(10) || 'Summary: ' || nullif(summary, ''), '') || chr(10) || 'Filepath: f' || page_id || chr(10) || 'Size: ' || length(html) || ' chars (~' || CAST(floor(length(html) / 4 + 0.5) AS BIGINT)
+        || ' tokens)' || chr(10) || 'Quality: 85/100' || (CASE WHEN page_id % 2 = 0 THEN chr(10) || 'Rendered: Yes (forced)' ELSE '' END) AS text
+        FROM (SELECT *, {", ".join(f"{e} AS {n}" for n, e in _META.items())} FROM pages)""",
+)
+def render_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables.pages(spark, sf_dir).withColumns({n: F.expr(e) for n, e in _META.items()})
+    r = {
+        "ref_id": F.concat(F.lit("s"), "page_id"), "title": _page_title(), "byline": F.col("byline"), "site_name": F.col("site"), "excerpt": F.col("summary"),
+        "filepath": F.concat(F.lit("f"), "page_id"), "markdown": F.col("html"), "score": F.lit(85), "used_rendered": F.col("page_id") % 2 == 0, "rendered_reason": F.lit("forced"),
+    }
+    return rows.select("page_id", render.saved_text(r).alias("text"))
+
+
+@query(
+    "render_json",
+    f"""{_SAVED} SELECT seq, CASE WHEN already_exists THEN '{{"success":true,"alreadyExists":true,"refId":"' ELSE '{{"success":true,"refId":"' END || ref_id || '","filepath":"' || filepath || '"}}' AS json FROM saved""",
+)
+def render_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _save(spark, sf_dir)[0]
+    fields = {"success": F.lit(True), "alreadyExists": F.when(F.col("already_exists"), F.lit(True)), "refId": F.col("ref_id"), "filepath": F.col("filepath")}
+    return found.select("seq", render.as_json(**fields).alias("json"))
+
+
+_PROMOTED = f"(SELECT i.ref_id, d.ref_id AS f FROM (SELECT DISTINCT ref_id FROM ({_IDS})) i LEFT JOIN ({_DECODED}) d ON i.ref_id = d.ref_id)"
+
+
+@query(
+    "render_promote_delete",
+    f"""SELECT ref_id, CASE WHEN f IS NOT NULL THEN 'Promoted: ' || ref_id || chr(10) || 'From: .tmp/' || f || '.md' || chr(10) || 'To: docs/ai/references/' || f || '.md'
+        ELSE 'Error: Reference ' || ref_id || ' not found in .tmp' END AS promoted,
+        CASE WHEN f IS NOT NULL THEN 'Deleted: ' || ref_id || chr(10) || 'File: .tmp/' || f || '.md' ELSE 'Error: Reference ' || ref_id || ' not found in .tmp' END AS deleted FROM {_PROMOTED}""",
+)
+def render_promote_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, d = (f(_state(spark, sf_dir), _ids(spark, sf_dir))[0] for f in (store.promote, store.delete))
+    p = p.select("ref_id", render.promoted(*(F.col(c) for c in ("ref_id", "success", "from_path", "to_path", "error"))).alias("promoted"))
+    d = d.select("ref_id", render.deleted(*(F.col(c) for c in ("ref_id", "success", "filepath", "error"))).alias("deleted"))
+    return p.join(d, "ref_id")
+
+
+# --- whole pages ----------------------------------------------------------------------------------------------------
+@query("extract_markdown")
+def extract_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract_pages(tables.pages(spark, sf_dir))
+
+
+@query("pipeline_e2e")
+def pipeline_e2e(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages through extraction, clean-up, scoring and routing, with a stand-in for rendered ones for every third."""
+    pages = tables.pages(spark, sf_dir)
+    rendered = pages.where("page_id % 3 = 0").withColumn("html", tables.render_stub(F.col("html"), F.col("page_id")))
+    found = route.fetch(pages, rendered)
+    joined = lambda c: F.array_join(c, "|").alias(c)
+    return found.select("url", "success", "markdown", "title", "score", joined("issues"), joined("warnings"), "error", "used_rendered", "rendered_reason")
