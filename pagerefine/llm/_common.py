@@ -48,9 +48,9 @@ def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def bounded(df: DataFrame) -> DataFrame:
+def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """A stored table, to be broadcast if its rows, counted from Parquet footers, are few enough, else shuffled."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:

@@ -15,6 +15,8 @@ from ._common import ascii_lower, bounded, stored
 
 # Fixed value: what separates words, once A-Z are lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A table of at most so many rows with several columns is broadcast.
+BROADCAST_WIDE = 100_000
 #: How many of a window's words, the rarest, are looked for first.
 ANCHORS = 2
 
@@ -32,7 +34,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def postings(rows: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """The positional index of rows(doc, h, t): doc, h, term, pos; only of terms(term), if given."""
     found = rows.select("doc", "h", F.posexplode(words_of(F.col("t"))).alias("pos", "term"))
-    return found if terms is None else found.join(bounded(terms), "term", "left_semi")
+    return found if terms is None else found.join(bounded(terms, BROADCAST_WIDE), "term", "left_semi")
 
 
 def item_terms(items: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -82,10 +84,10 @@ def find_matches(
     anchors = stored(anchors.select("item", "q", "term").distinct(), "anchor-terms")
 
     index = stored(postings(rows, stored(anchors.select("term").distinct(), "anchor-vocabulary")), "postings")
-    votes = index.join(bounded(anchors), "term").withColumn("at", F.explode(grids(F.col("pos") - F.col("q"), slop)))
+    votes = index.join(bounded(anchors, BROADCAST_WIDE), "term").withColumn("at", F.explode(grids(F.col("pos") - F.col("q"), slop)))
     votes = votes.groupBy("doc", "h", "item", "at").agg(F.collect_set("q").alias("qs"))
     whole = F.exists("windows", lambda w: F.size(F.array_except(w, F.col("qs"))) == 0)
-    likely = votes.join(bounded(windows), F.col("item").eqNullSafe(F.col("i"))).where(whole)
+    likely = votes.join(bounded(windows, BROADCAST_WIDE), F.col("item").eqNullSafe(F.col("i"))).where(whole)
     likely = stored(likely.select("doc", "h", "item", "at"), "likely")
 
     # All lists, in the documents that are left.
@@ -93,9 +95,9 @@ def find_matches(
     same = F.col("doc").eqNullSafe(F.col("d")) & (F.col("h") == F.col("x"))
     lists = postings(rows.join(bounded(left), same, "left_semi"), vocabulary)
     asked = likely.select(F.col("doc").alias("d"), F.col("h").alias("x"), F.col("item").alias("i"), "at")
-    asked = asked.join(bounded(terms), F.col("i").eqNullSafe(F.col("item"))).drop("i").withColumnRenamed("term", "asked")
+    asked = asked.join(bounded(terms, BROADCAST_WIDE), F.col("i").eqNullSafe(F.col("item"))).drop("i").withColumnRenamed("term", "asked")
     asked = stored(asked, "asked-terms")
-    places = lists.join(bounded(asked), same & (F.col("term") == F.col("asked"))).withColumn("offset", F.col("pos") - F.col("q"))
+    places = lists.join(bounded(asked, BROADCAST_WIDE), same & (F.col("term") == F.col("asked"))).withColumn("offset", F.col("pos") - F.col("q"))
     places = places.where(F.array_contains(grids(F.col("offset"), slop), F.col("at")))
     # A posting counts once at an offset, also where an id and its text are repeated.
     found = places.select("doc", "h", "item", "length", "span", "at", "offset", "q").distinct()
