@@ -30,6 +30,8 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows and bytes of an Arrow batch on its way to a worker; bound what the JVM and the worker hold of long texts.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 #: A table of at most so many narrow rows is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -54,8 +56,13 @@ def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """mapInArrow, with this package on the executors."""
-    ship(df.sparkSession)
+    """mapInArrow, with this package on the executors, in small batches: the session's limits are lowered if higher."""
+    spark = df.sparkSession
+    ship(spark)
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(name).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
     return df.mapInArrow(function, schema)
 
 

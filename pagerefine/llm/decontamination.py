@@ -38,8 +38,12 @@ def postings(rows: DataFrame, terms: DataFrame | None = None) -> DataFrame:
 
 
 def item_terms(items: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """item, q, term, length, span: every word of every item; span is the length of its windows."""
-    rows = items.select(F.col(id_col).alias("item"), words_of(F.col(text_col)).alias("w")).where("size(w) > 0").distinct()
+    """item, q, term, length, span: every word of every item; span is the length of its windows.
+
+    item is the id with the text's hash, which tells apart texts under a repeated id.
+    """
+    item = F.struct(F.col(id_col).alias("id"), F.coalesce(F.xxhash64(F.col(text_col).cast("string")), F.lit(0)).alias("hash"))
+    rows = items.select(item.alias("item"), words_of(F.col(text_col)).alias("w")).where("size(w) > 0").distinct()
     rows = rows.select("item", F.size("w").alias("length"), F.least(F.lit(size), F.size("w")).alias("span"), F.posexplode("w").alias("q", "term"))
     return rows
 
@@ -112,7 +116,7 @@ def find_matches(
         F.count_distinct("q").alias("n"), F.min(F.col("offset") + F.col("q")).alias("start"), (F.max(F.col("offset") + F.col("q")) + 1).alias("end")
     )
     close = close.where(F.col("n") >= F.lit(near) * F.col("length")).select("doc", "h", "item", F.lit("near").alias("kind"), "start", "end")
-    return phrases.unionByName(close)
+    return phrases.unionByName(close).withColumn("item", F.col("item.id"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:

@@ -31,7 +31,7 @@ _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6
 _FINAL = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 #: Texts are counted in blocks of about so many words, which bounds a worker's memory.
-BLOCK_WORDS = 4 << 20
+BLOCK_WORDS = 2 << 20
 #: A token is in the frequent class if one block holds it in so many sets, and the blocks' sum is high enough; a
 #: word counts if one block holds it so often.
 BLOCK_TOKENS, BLOCK_WORD, FREQUENT = 2, 3, 12

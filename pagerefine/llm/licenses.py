@@ -139,10 +139,14 @@ class LicenseIndex:
         listed = None
         for template, low, high, _ in self.candidates(words):
             listed = listed if listed is not None else words.tolist()
-            matched, start, end = self.align(listed, template, low, high)
-            share = matched / len(self.words[template])
-            if matched and share >= self.coverage:
+            rest = listed
+            while True:  # a template may repeat within the band: what is matched is taken out, and the rest looked at again
+                matched, start, end = self.align(rest, template, low, high)
+                share = matched / len(self.words[template])
+                if not matched or share < self.coverage:
+                    break
                 found.append((start, end, matched, share, self.templates[template][0]))
+                rest = [*rest[:start], *[None] * (end - start), *rest[end:]]
         found = sorted(set(found))
         kept = [f for f in found if not any(o[0] <= f[0] and f[1] <= o[1] and (o[2], -o[0], o[4]) > (f[2], -f[0], f[4]) for o in found if o is not f)]
         if not kept:
