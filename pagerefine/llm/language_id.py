@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import map_arrow, steps
+from ._common import bounded, map_arrow, steps, stored
 
 UNKNOWN = "und"
 #: Stands for all that isn't a letter; no letter has this code point.
@@ -102,7 +102,7 @@ def fit_profiles(
     """
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("label"))
     rows = rows.where("key is not null and text is not null and label is not null")
-    chosen = sample_by_label(rows.select("key", "label"), per_language)
+    chosen = stored(sample_by_label(rows.select("key", "label"), per_language), "language-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, 64):
@@ -114,7 +114,7 @@ def fit_profiles(
                 counts = np.bincount(inverse, np.concatenate([n for _, n in found]), len(grams)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([label] * len(grams), pa.string()), pa.array(grams), pa.array(counts)], ["label", "gram", "n"])
 
-    counted = map_arrow(rows.join(chosen, ["key", "label"], "left_semi").select("label", "text"), count, "label string, gram long, n long")
+    counted = map_arrow(rows.join(bounded(chosen), ["key", "label"], "left_semi").select("label", "text"), count, "label string, gram long, n long")
     totals = counted.groupBy("label", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("label").orderBy(F.desc("n"), "gram")
     top = totals.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < size).select("label", "gram", "rank").collect()
