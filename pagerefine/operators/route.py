@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagerefine.functions.quality import score
-from pagerefine.operators.extract import extract_pages
+from pagerefine.operators.extract import with_extraction
 
 SUGGESTION = "This page may be a login wall, forum, or complex web app not suitable for article extraction"
 
@@ -48,23 +48,16 @@ def fetch(pages: DataFrame, rendered: DataFrame, min_score: int = 60, retry: int
     """Fetch results of pages(url, html, error), with rendered(url, html, error) at hand: one row per page.
 
     url, success, markdown, title, byline, excerpt, site_name, score, issues, warnings, error, suggestion,
-    used_rendered, rendered_reason. Only pages that need it are matched with rendered ones and extracted again; a page
-    without a rendered row fails there.
+    used_rendered, rendered_reason. Each page is extracted once, and its rendered one only where the plain one isn't
+    accepted; one join by url. A page without a rendered row fails there.
     """
     columns = ("markdown", "title", "byline", "excerpt", "site_name")
-
-    def scored(df: DataFrame) -> DataFrame:
-        return score(df, "markdown", "quality")
-
     plain = pages.select("url", F.when(F.col("error").isNull(), F.col("html")).alias("html"), F.col("error").alias("fetch_error"))
-    errors = plain.select(F.col("url").alias("__url"), "fetch_error").where("fetch_error is not null").distinct()
-    simple = scored(extract_pages(plain)).join(errors, F.col("url") == F.col("__url"), "left").drop("__url")
+    simple = score(with_extraction(plain), "markdown", "quality")
     simple = simple.withColumn("why", reason(F.col("fetch_error"), F.col("error"), F.col("quality.score"), min_score, retry, force))
-    needed = simple.where("why is not null").select("url").distinct()
-    shown = rendered.join(needed, "url", "left_semi").dropDuplicates(["url"]).select("url", "html", F.col("error").alias("r_fetch_error"))
-    r = scored(extract_pages(shown)).select("url", *(F.col(c).alias(f"r_{c}") for c in (*columns, "error", "quality")))
-    r = r.join(shown.select("url", "r_fetch_error", F.lit(True).alias("r_there")), "url")
-    both = simple.join(r, "url", "left")
+    shown = rendered.dropDuplicates(["url"]).select("url", F.col("html").alias("r_html"), F.col("error").alias("r_fetch_error"), F.lit(True).alias("r_there"))
+    both = simple.join(shown, "url", "left").withColumn("r_html", F.when(F.col("why").isNotNull() & F.col("r_fetch_error").isNull(), F.col("r_html")))
+    both = score(with_extraction(both, "url", "r_html", "r_"), "r_markdown", "r_quality")
     r_fetch = F.coalesce("r_fetch_error", F.when(F.col("r_there").isNull(), F.lit("no rendered page")))
     outcome = rendered_outcome(r_fetch, F.col("r_error"), F.col("r_quality.score"), min_score)
     both = both.withColumns({f"o_{k}": v for k, v in outcome.items()})
