@@ -202,7 +202,7 @@ def write_archives(marked: DataFrame, folder: str, dictionary: bytes = b"", date
             for page_id, url, payload, revisit, refers_to in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if out is None:
                     name, records, size = f"{mine}-{len(done)}.warc.zst", 0, len(frame)
-                    out = store.open_output_stream(f"{root}/{name}")
+                    out = store.open_output_stream(f"{root}/{name}", compression=None)
                     out.write(frame)
                 packed = encoder.compress(record_bytes(page_id, url, payload, refers_to, revisit, date))
                 out.write(packed)
@@ -234,7 +234,7 @@ def read_archives(manifest: DataFrame, strict: bool = True) -> DataFrame:
 
     def records(path: str) -> Iterator[dict]:
         store, at = fs.FileSystem.from_uri(path)
-        with store.open_input_stream(at) as stream:
+        with store.open_input_stream(at, compression=None) as stream:
             frames = read_archive(stream)
             while True:
                 try:

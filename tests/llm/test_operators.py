@@ -383,6 +383,8 @@ def test_archive_payloads_and_dictionary(spark):
     assert trained
     manifest = warc.write_archives(warc.mark_revisits(pages), warc.new_path(spark, "test-warc"), trained, archive_bytes=4000)
     assert manifest.count() > 4  # archives are closed at their size
+    first = open(manifest.first().path.removeprefix("file://"), "rb").read()
+    assert first[:4] == struct.pack("<I", warc.DICTIONARY_MAGIC) and first[8 : 8 + len(trained)] == trained  # what lies on disk is the archive itself
     back = {r.page_id: r.payload for r in warc.read_archives(manifest).collect()}
     assert back == {str(r.page_id): r.html.encode() for r in pages.collect()}
 

@@ -16,6 +16,8 @@ def test_stages_like_brute_force(spark):
     from tokenizers import Tokenizer
 
     docs = documents(spark, str(DATA))
+    own = [(10**6, "my api_key = 'abcdef123456' and words of its own", "en", "s", 48), (10**6 + 1, None, "en", "s", 0), (10**6 + 2, "123 456", None, None, 7)]
+    docs = docs.unionByName(spark.createDataFrame(own, docs.schema)).cache()
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     texts = {r.doc_id: r.text for r in docs.collect()}
     kept = {i: t for i, t in texts.items() if t and any(c.isalpha() for c in t)}
