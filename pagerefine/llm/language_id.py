@@ -81,21 +81,19 @@ class Profiles:
 
 
 def sample_by_label(labelled: DataFrame, per_label: int) -> DataFrame:
-    """The rows of labelled(key, label) with the per_label smallest key hashes of each label.
+    """About per_label rows of labelled(key, label) for each label: those whose key's hash is small enough for that.
 
-    A label's rows are first cut down within 256 salts, so that no task holds all rows of a frequent label.
+    All rows of a label that has no more. Labels are counted first, in partial sums, so no task sees all rows of one.
     """
-    hashed = labelled.select("key", "label", F.xxhash64("key").alias("h")).withColumn("salt", F.pmod(F.xxhash64("h", F.lit(7)), F.lit(256)))
-    for keys in (["label", "salt"], ["label"]):
-        order = Window.partitionBy(*keys).orderBy("h", "key")
-        hashed = hashed.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= per_label).drop("rn")
-    return hashed.select("key", "label")
+    counts = stored(labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "label-counts")
+    share = F.pmod(F.xxhash64("key"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    return labelled.join(bounded(counts), "label").where(share * F.col("n") < per_label).select("key", "label")
 
 
 def fit_profiles(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", size: int = 300, per_language: int = 1000
 ) -> Profiles:
-    """Profiles of all languages named in lang_col, from whole texts of at most per_language documents each.
+    """Profiles of all languages named in lang_col, from whole texts of about per_language documents each.
 
     The documents of a language are those with the smallest hashes of their ids. Rows with a null id, text or
     language are left out; without any row there are no profiles, and predict() says `und`.
