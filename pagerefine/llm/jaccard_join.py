@@ -271,7 +271,13 @@ def token_order(sizes: DataFrame) -> TokenOrder:
     return TokenOrder(tokens, ranks, words, np.rint(4 * np.log2(np.maximum(weights, 1))).astype(np.int64))
 
 
-def signature_rows(docs: DataFrame, width: int, threshold: Threshold, order: TokenOrder) -> DataFrame:
+def id_bytes(sizes: DataFrame) -> int:
+    """How many leading bytes of set ids tell all sets apart: 8 or 16."""
+    short = sizes.where("sid is not null").groupBy(F.substring("sid", 1, 8).alias("s")).agg(F.min("sid").alias("low"), F.max("sid").alias("high"))
+    return 8 if short.where("low <> high").isEmpty() else 16
+
+
+def signature_rows(docs: DataFrame, width: int, threshold: Threshold, order: TokenOrder, id_size: int) -> DataFrame:
     """sig, space, set of every set; a set that a task meets again is left out there.
 
     space tells frequent singles from the rest. set is the set's id and four bytes each of n, place and flags (role
@@ -281,12 +287,12 @@ def signature_rows(docs: DataFrame, width: int, threshold: Threshold, order: Tok
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        row = np.dtype([("sid", "V16"), ("n", ">i4"), ("place", ">i4"), ("flags", ">i4")])
+        row = np.dtype([("sid", f"V{id_size}"), ("n", ">i4"), ("place", ">i4"), ("flags", ">i4")])
         for b in steps(batches, 128):
             own: list[tuple] = []
             for text in binary(b.column(1)):
                 tokens, weight = spread.value.set_of(word_hashes(text), width)
-                sid = set_id(tokens)
+                sid = set_id(tokens)[:id_size]
                 if not len(tokens) or sid in seen:
                     continue
                 seen.add(sid)
@@ -296,7 +302,7 @@ def signature_rows(docs: DataFrame, width: int, threshold: Threshold, order: Tok
             counts = [len(x[2]) for x in own]
             sig, place, role, small = (np.concatenate([x[k] for x in own]) for k in range(2, 6))
             packed = np.empty(len(sig), row)
-            packed["sid"] = np.repeat(np.array([x[0] for x in own], "V16"), counts)
+            packed["sid"] = np.repeat(np.array([x[0] for x in own], row["sid"]), counts)
             packed["n"], packed["place"], packed["flags"] = np.repeat([x[1] for x in own], counts), place, role * 2 + small
             sets = pa.Array.from_buffers(pa.binary(packed.itemsize), len(packed), [None, pa.py_buffer(packed)])
             yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(role > 0), sets.cast(pa.binary())], ["sig", "space", "set"])
@@ -304,15 +310,15 @@ def signature_rows(docs: DataFrame, width: int, threshold: Threshold, order: Tok
     return map_arrow(docs.select("doc", "text"), run, "sig long, space boolean, set binary")
 
 
-def unpacked(rows: DataFrame) -> DataFrame:
+def unpacked(rows: DataFrame, id_size: int) -> DataFrame:
     """sig, space, sid, n, place, small, role of packed rows."""
     part = lambda at, size=4: F.substring("set", at, size)
-    number = lambda at: F.conv(F.hex(part(at)), 16, 10).cast("int")
-    flags = number(25)
-    return rows.select("sig", "space", part(1, 16).alias("sid"), number(17).alias("n"), number(21).alias("place"), (flags % 2 == 1).alias("small"), F.floor(flags / 2).cast("int").alias("role"))
+    number = lambda i: F.conv(F.hex(part(id_size + 1 + 4 * i)), 16, 10).cast("int")
+    flags = number(2)
+    return rows.select("sig", "space", part(1, id_size).alias("sid"), number(0).alias("n"), number(1).alias("place"), (flags % 2 == 1).alias("small"), F.floor(flags / 2).cast("int").alias("role"))
 
 
-def token_sets(docs: DataFrame, first: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+def token_sets(docs: DataFrame, first: DataFrame, pairs: DataFrame, width: int, id_size: int) -> DataFrame:
     """sid, tokens of the sets in pairs(a, b), made from the first document of each: only their texts are moved."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(first, "sid")
     wanted = stored(wanted.select("sid", F.col("doc").alias("first")), "wanted-sets")
@@ -325,7 +331,7 @@ def token_sets(docs: DataFrame, first: DataFrame, pairs: DataFrame, width: int)
             offsets = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
             values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
             tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-            yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.binary()), tokens], ["sid", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([set_id(s)[:id_size] for s in sets], pa.binary()), tokens], ["sid", "tokens"])
 
     sets = map_arrow(texts.select("text"), run, "sid binary, tokens array<long>")
     return stored(sets.join(wanted.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]), "token-sets")
@@ -375,17 +381,19 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
     sizes = stored(set_sizes(rows, width), "set-sizes")
     order = token_order(sizes)
+    size = id_bytes(sizes)
+    sizes = sizes.withColumn("sid", F.substring("sid", 1, size))
     first = sizes.where("sid is not null").groupBy("sid").agg(F.min("doc").alias("doc"))
     sketches = sizes.where("sid is not null").select("sid", "n", "sketch").dropDuplicates(["sid"])
 
     # Signatures that several sets share. Frequent singles meet in a space of their own, and only if one has role 2.
-    index = signature_rows(rows, width, threshold, order)
+    index = signature_rows(rows, width, threshold, order, size)
     index = index.where("sig is not null and space is not null").repartition(F.col("sig"), F.col("space"))
-    mark = F.xxhash64(F.substring("set", 1, 16))
-    double = (F.substring("set", 28, 1) >= F.lit(b"\x04")).cast("int")
+    mark = F.xxhash64(F.substring("set", 1, size))
+    double = (F.substring("set", size + 12, 1) >= F.lit(b"\x04")).cast("int")
     shared = index.groupBy("sig", "space").agg(F.min(mark).alias("low"), F.max(mark).alias("high"), F.max(double).alias("top"))
     shared = shared.where("low <> high and (not space or top = 1)").select("sig", "space")
-    members = unpacked(index.join(shared, ["sig", "space"]))  # a semi join would move below the exchange
+    members = unpacked(index.join(shared, ["sig", "space"]), size)  # a semi join would move below the exchange
     members = stored(members, "members").dropDuplicates(["sig", "space", "sid"])
 
     # Of each, the set whose shared token comes first, hence the least edited one, is the hub.
@@ -395,7 +403,7 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     stars = members.join(hub, ["sig", "space"]).where("sid <> sid2").where(_possible(threshold))
     pairs = stars.select(F.least("sid", "sid2").alias("a"), F.greatest("sid", "sid2").alias("b")).distinct()
     pairs = stored(unlike_left_out(pairs, sketches, threshold), "star-pairs")
-    links = stored(verified(pairs, token_sets(rows, first, pairs, width), threshold), "star-links")
+    links = stored(verified(pairs, token_sets(rows, first, pairs, width, size), threshold), "star-links")
     groups = connected_components(links)
 
     # What is left: pairs that share a signature and lie in different groups.
@@ -408,7 +416,7 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     rest = left.join(other, ["sig", "space"]).where("sid < sid2 and component <> component2").where(_possible(threshold))
     rest = rest.select(F.col("sid").alias("a"), F.col("sid2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     rest = stored(unlike_left_out(rest, sketches, threshold), "open-pairs")
-    more = stored(verified(rest, token_sets(rows, first, rest, width), threshold), "more-links")
+    more = stored(verified(rest, token_sets(rows, first, rest, width, size), threshold), "more-links")
     final = groups if more.isEmpty() else connected_components(links.unionByName(more))
 
     degree = links.unionByName(more).select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count(F.lit(1)).alias("n_links"))

@@ -131,6 +131,8 @@ def test_groups_like_brute_force(spark, monkeypatch, width, percent, frequent, c
     """Near copies, shared passages and very short texts; a low bar makes most shared tokens frequent."""
     for name, value in (("BLOCK_TOKENS", 2), ("BLOCK_WORD", 1), ("FREQUENT", frequent), ("COMBINED", combined)):
         monkeypatch.setattr(jaccard_join, name, value)
+    if width == 5:  # as if eight bytes of ids weren't enough
+        monkeypatch.setattr(jaccard_join, "id_bytes", lambda sizes: 16)
     rng = random.Random(width * percent)
     vocabulary = [f"w{i}" for i in range(400)]
     bases = [[rng.choice(vocabulary) for _ in range(rng.choice([2, 5, 40, 120]))] for _ in range(14)]
