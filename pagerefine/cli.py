@@ -39,7 +39,7 @@ def parse_args(argv: list[str]) -> Options:
         return Options("help")
     out, rest = Options(argv[0]), iter(argv[1:])
     takes = {"-q": "query", "--query": "query", "-o": "output", "--output": "output", "--min-quality": "min_quality", "--temp-dir": "temp_dir", "--docs-dir": "docs_dir", "--wait-strategy": "wait_strategy"}
-    flags = {"--pretty": "pretty", "--refetch": "refetch", "-v": "verbose", "--verbose": "verbose", "--force-rendered": "force"}
+    flags = {"--pretty": "pretty", "--refetch": "refetch", "-v": "verbose", "--verbose": "verbose", "--force-rendered": "force", "--force-playwright": "force"}
     for word in rest:
         if word in takes:
             name, value = takes[word], next(rest, None)
@@ -81,7 +81,8 @@ def links_text(r: dict, pretty: bool = False) -> str:
     if not r["count"]:
         return f"No links found in {r['sourceRef']}"
     line = (lambda x: f"  {x['text']}\n    → {x['href']}") if pretty else (lambda x: f"{x['text']} | {x['href']}")
-    return "\n".join([f"Found {r['count']} links in {r['sourceRef']}:\n", *map(line, r["links"])])
+    hints = [f"\n💡 To fetch all: pagerefine fetch-links {r['sourceRef']}"] if pretty else []
+    return "\n".join([f"Found {r['count']} links in {r['sourceRef']}:\n", *map(line, r["links"]), *hints])
 
 
 def crawl_text(r: dict, pretty: bool = False) -> str:
@@ -104,7 +105,8 @@ def list_text(refs: list[dict], folder: str, pretty: bool = False) -> str:
         kb = (r["size"] + 512) // 1024
         middle = f"   📅 {r['fetched_date']} | 📄 {kb}KB\n   🔗 {clip(r['url'], 60)}" if pretty else f"  Date: {r['fetched_date']} | Size: {kb}KB\n  URL: {clip(r['url'], 60)}"
         out.append(f"{r['ref_id']} | {clip(r['title'], 50)}\n{middle}\n")
-    return "\n".join(out)
+    hints = ["💡 To promote: pagerefine promote <ref-id>", "💡 To delete: pagerefine delete <ref-id>"] if pretty else []
+    return "\n".join([*out, *hints])
 
 
 def run(argv: list[str], make_service=None) -> int:

@@ -38,12 +38,13 @@ def saved_text(r: dict[str, Column], pretty: bool = False) -> Column:
         return lines(
             F.concat(F.lit("✅ Cached: "), r["ref_id"], F.lit("\n")), F.concat(F.lit("**Title**: "), r["title"]), labelled("**Author**: ", r["byline"]),
             labelled("**Source**: ", r["site_name"]), labelled("**Summary**: ", excerpt), F.concat(F.lit("\n**Saved to**: "), r["filepath"]),
-            F.concat(F.lit("**Size**: "), size_line(r["markdown"])), F.concat(F.lit("**Quality**: "), score), labelled("**Rendered**: ", rendered),
+            F.concat(F.lit("**Size**: "), size_line(r["markdown"])), F.concat(F.lit("**Quality**: "), score), labelled("**Playwright**: ", rendered),
+            F.concat(F.lit("\n💡 To promote to docs: pagerefine promote "), r["ref_id"]),
         )
     return lines(
         F.concat(F.lit("Cached: "), r["ref_id"]), F.concat(F.lit("Title: "), r["title"]), labelled("Author: ", r["byline"]), labelled("Source: ", r["site_name"]),
         labelled("Summary: ", excerpt), F.concat(F.lit("Filepath: "), r["filepath"]), F.concat(F.lit("Size: "), size_line(r["markdown"])),
-        F.concat(F.lit("Quality: "), score), labelled("Rendered: ", rendered),
+        F.concat(F.lit("Quality: "), score), labelled("Playwright: ", rendered),
     )
 
 

@@ -621,7 +621,7 @@ def render_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     "render_saved",
     f"""SELECT page_id, 'Cached: s' || page_id || chr(10) || 'Title: ' || {_TITLE} || coalesce(chr(10) || 'Author: ' || nullif(byline, ''), '') || coalesce(chr(10) || 'Source: ' || nullif(site, ''), '')
         || coalesce(chr(10) || 'Summary: ' || nullif(summary, ''), '') || chr(10) || 'Filepath: f' || page_id || chr(10) || 'Size: ' || length(html) || ' chars (~' || CAST(floor(length(html) / 4 + 0.5) AS BIGINT)
-        || ' tokens)' || chr(10) || 'Quality: 85/100' || (CASE WHEN page_id % 2 = 0 THEN chr(10) || 'Rendered: Yes (forced)' ELSE '' END) AS text
+        || ' tokens)' || chr(10) || 'Quality: 85/100' || (CASE WHEN page_id % 2 = 0 THEN chr(10) || 'Playwright: Yes (forced)' ELSE '' END) AS text
         FROM (SELECT *, {", ".join(f"{e} AS {n}" for n, e in _META.items())} FROM pages)""",
 )
 def render_saved(spark: SparkSession, sf_dir: str) -> DataFrame:

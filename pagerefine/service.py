@@ -70,7 +70,7 @@ class Service:
         plain, pretty = shown.select(render.saved_text(columns), render.saved_text(columns, pretty=True)).first()
         extra = {
             "title": r["title"], "byline": r["byline"], "siteName": r["site_name"], "excerpt": r["excerpt"], "url": url, "size": found["size"],
-            "tokens": (found["size"] + 2) // 4, "quality": r["score"], "usedRendered": r["used_rendered"], "renderedReason": r["rendered_reason"], "query": query,
+            "tokens": (found["size"] + 2) // 4, "quality": r["score"], "usedPlaywright": r["used_rendered"], "playwrightReason": r["rendered_reason"], "query": query,
         }
         return out | {k: v for k, v in extra.items() if v is not None} | {"text": plain, "pretty": pretty}
 
