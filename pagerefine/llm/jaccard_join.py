@@ -439,3 +439,17 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     other = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     return rows.join(bounded(stored(other, "copies")), F.col("row.doc_id").eqNullSafe(F.col("gone")), "left_anti").select("row.*")
+
+
+_WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+#: doc_id, n_shingles, component_id for three-word shingles and a similarity of 0.9, by counting the shingles of all pairs.
+ORACLE = f"""
+    WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] END AS g
+          FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 2) + 1)) AS i FROM d WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+    e AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)),
+    b AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+    r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT b.y, r.root FROM r JOIN b ON b.x = r.doc_id WHERE r.root < b.y)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id) LEFT JOIN n USING (doc_id)"""

@@ -8,6 +8,7 @@ from ._common import documents
 from .bpe import bpe_round_trip
 from .decontamination import ORACLE as DECONTAMINATION_ORACLE
 from .decontamination import decontaminate
+from .jaccard_join import ORACLE as JACCARD_ORACLE
 from .jaccard_join import similar_groups
 from .language_id import identify_languages
 from .licenses import scan_licenses
@@ -32,7 +33,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_groups(documents(spark, sf_dir), width=3, percent=90)
+    found = similar_groups(documents(spark, sf_dir), width=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +82,7 @@ QUERIES = {
     "op10_warc": op10_warc,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_jaccard": JACCARD_ORACLE,
     "op5_secrets": SECRETS_ORACLE,
     "op8_quality_rules": QUALITY_ORACLE,
     "op9_decontamination": DECONTAMINATION_ORACLE,
