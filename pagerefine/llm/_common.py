@@ -50,7 +50,16 @@ def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     most = 4 * spark.sparkContext.defaultParallelism
     files = most if rows is None else min(most, 1 + rows // 500_000)
     df.coalesce(files).write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables of which nothing is read again: all that was made of them is stored itself."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower, bounded, stored
+from ._common import ascii_lower, bounded, discard, stored
 
 # Fixed value: what separates words, once A-Z are lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -93,6 +93,7 @@ def find_matches(
     whole = F.exists("windows", lambda w: F.size(F.array_except(w, F.col("qs"))) == 0)
     likely = votes.join(bounded(windows, BROADCAST_WIDE), F.col("item").eqNullSafe(F.col("i"))).where(whole)
     likely = stored(likely.select("doc", "h", "item", "at"), "likely")
+    discard(index)
 
     # All lists, in the documents that are left.
     left = stored(likely.select(F.col("doc").alias("d"), F.col("h").alias("x")).distinct(), "likely-documents")

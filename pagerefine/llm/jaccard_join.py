@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import binary, bounded, map_arrow, steps, stored
+from ._common import binary, bounded, discard, map_arrow, steps, stored
 from .graph import connected_components
 
 # Odd multipliers and the finalizer that mix the hashes of a shingle's words.
@@ -394,7 +394,8 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     shared = index.groupBy("sig", "space").agg(F.min(mark).alias("low"), F.max(mark).alias("high"), F.max(double).alias("top"))
     shared = shared.where("low <> high and (not space or top = 1)").select("sig", "space")
     members = unpacked(index.join(shared, ["sig", "space"]), size)  # a semi join would move below the exchange
-    members = stored(members, "members").dropDuplicates(["sig", "space", "sid"])
+    kept = stored(members, "members")
+    members = kept.dropDuplicates(["sig", "space", "sid"])
 
     # Of each, the set whose shared token comes first, hence the least edited one, is the hub.
     columns = ("sid", "n", "place", "small", "role")
@@ -403,7 +404,9 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     stars = members.join(hub, ["sig", "space"]).where("sid <> sid2").where(_possible(threshold))
     pairs = stars.select(F.least("sid", "sid2").alias("a"), F.greatest("sid", "sid2").alias("b")).distinct()
     pairs = stored(unlike_left_out(pairs, sketches, threshold), "star-pairs")
-    links = stored(verified(pairs, token_sets(rows, first, pairs, width, size), threshold), "star-links")
+    sets = token_sets(rows, first, pairs, width, size)
+    links = stored(verified(pairs, sets, threshold), "star-links")
+    discard(sets)
     groups = connected_components(links)
 
     # What is left: pairs that share a signature and lie in different groups.
@@ -416,7 +419,9 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     rest = left.join(other, ["sig", "space"]).where("sid < sid2 and component <> component2").where(_possible(threshold))
     rest = rest.select(F.col("sid").alias("a"), F.col("sid2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     rest = stored(unlike_left_out(rest, sketches, threshold), "open-pairs")
-    more = stored(verified(rest, token_sets(rows, first, rest, width, size), threshold), "more-links")
+    sets = token_sets(rows, first, rest, width, size)
+    more = stored(verified(rest, sets, threshold), "more-links")
+    discard(sets, rest, left, pairs, kept)
     final = groups if more.isEmpty() else connected_components(links.unionByName(more))
 
     degree = links.unionByName(more).select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count(F.lit(1)).alias("n_links"))
