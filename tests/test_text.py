@@ -102,7 +102,7 @@ def test_header_block(spark):
     text = row.select("f", frontmatter.encode(*(F.col(c) for c in "tudqc")).alias("value"))
     assert text.first().value == '---\ntitle: "say \\"hi\\""\nsource_url: u\nfetched_date: d\ntype: web\nstatus: temporary\n---\n\nbody'
     r = frontmatter.decode(text, "f").first()
-    assert (r.ref_id, r.title, r.url, r.query) == ("x", 'say \\"hi\\', "u", None)
+    assert (r.ref_id, r.title, r.url, r.query) == ("x", 'say \\"hi\\"', "u", None)
     empty = spark.createDataFrame([("e.md", "---\ntitle:\nsource_url: u\n---\nx"), ("n.md", "no block"), ("w.md", "---\r\ntitle: a\r\n---\r\n")], "f string, value string")
     found = frontmatter.decode(empty, "f").collect()
     assert [(r.ref_id, r.title) for r in found] == [("e", "source_url: u")]
