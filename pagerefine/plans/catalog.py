@@ -27,6 +27,8 @@ NOISY = (
     "'snake_case_word __dunder__ “q” ‘s’ en–dash em—dash zero\u200bwidth\ufeff', chr(9), ' ', chr(10), '~~~py', chr(10), 'x', chr(10), '~~~', chr(10), "
     "substr(text, 201, 300), '   ', chr(10), '1. one', chr(10), '    nested  list   ****', chr(10), '## Two', chr(10), 'after', chr(10), '- last ')"
 )
+#: The same with all of the text: both sides of the noise that is put in after 200 characters.
+WHOLE_NOISY = NOISY.replace("substr(text, 201, 300)", "substr(text, 201)")
 #: A text with links of all kinds, some twice.
 LINKED = (
     "concat('---', chr(10), 'title: \"T', doc_id, '\"', chr(10), '---', chr(10), chr(10), '[one](https://a.example/', doc_id % 7, ') and [two](http://b.example/', doc_id, ') ', "
@@ -103,6 +105,33 @@ def clean_blank_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir, _BLANKS).select("doc_id", clean.clean_markdown(F.col("x")).alias("y"))
 
 
+# The clean_* queries and their SQL read the first 500 characters of a text; whole_clean_* do the same to all of it.
+for _stage, _steps in (("structure", clean.STRUCTURE), ("content", clean.CONTENT), ("finish", clean.FINISH)):
+    for _step in _steps:
+        per_document(f"whole_clean_{_stage}_{_step.name}", _step.column, _step.sql, WHOLE_NOISY)
+per_document("whole_clean_structure", clean.clean_structure, lambda x: clean.stage_sql("structure", x), WHOLE_NOISY)
+per_document("whole_clean_content", clean.clean_content, lambda x: clean.stage_sql("content", x), WHOLE_NOISY)
+per_document("whole_clean_finish", clean.clean_finish, lambda x: clean.stage_sql("finish", x), WHOLE_NOISY)
+
+
+@query("whole_clean_full", ORACLE_SQL["clean_full"].replace(NOISY, WHOLE_NOISY))
+def whole_clean_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir, WHOLE_NOISY).select("doc_id", clean.clean_markdown(F.col("x")).alias("y"))
+
+
+#: Every text whole, and two blank ones beside it.
+_BESIDE_BLANKS = {"doc_id * 3": WHOLE_NOISY, "doc_id * 3 + 1": "''", "doc_id * 3 + 2": "concat(' ', chr(10), chr(9), chr(10), ' ')"}
+
+
+@query(
+    "whole_clean_blank_guard",
+    ORACLE_SQL["clean_blank_guard"].replace(_noisy_sql(_BLANKS), f"({' UNION ALL '.join(f'SELECT {i} AS doc_id, {x} AS x FROM documents' for i, x in _BESIDE_BLANKS.items())})"),
+)
+def whole_clean_blank_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = F.explode(F.array(*(F.struct(F.expr(i).alias("doc_id"), F.expr(x).alias("x")) for i, x in _BESIDE_BLANKS.items())))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(rows.alias("r")).select("r.doc_id", clean.clean_markdown(F.col("r.x")).alias("y"))
+
+
 # --- quality --------------------------------------------------------------------------------------------------------
 _COUNT = lambda x, p: f"CAST(len(regexp_extract_all({x}, '{p}')) AS BIGINT)"
 _STRIPPED = f"regexp_replace(x, '{quality.TAG_OR_EMPTY}', '', 'g')"
