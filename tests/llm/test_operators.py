@@ -217,6 +217,37 @@ def test_passages_of_copies(spark):
     assert {(r.doc_id, r.other_id) for r in found} == {(i, 0) for i in range(1, 40)} and all(r.n_words == 90 for r in found)
 
 
+def test_passages_of_lines_that_stand_alone_before(spark):
+    """Lines of under 50 words occur singly in earlier documents; what later ones share of them in common order is found."""
+    rng = random.Random(8)
+    new = lambda n: [f"n{rng.randrange(10**6)}" for _ in range(n)]
+    one, two = new(45), new(45)
+    lines = [new(rng.randrange(20, 45)) for _ in range(12)]
+    texts = [(5, one + new(30)), (7, new(30) + two), (100, new(9) + one + two), (200, one + two + new(9)), (150, one + new(20))]
+    texts += [(300 + i, new(60) + line + new(60)) for i, line in enumerate(lines)]
+    for i in range(30):
+        at = rng.randrange(9)
+        texts.append((400 + i, new(10) + [w for line in lines[at : at + rng.randrange(1, 4)] for w in line] + new(10)))
+    found = repeated_passages(rows(spark, *((i, " ".join(w)) for i, w in texts))).collect()
+    assert (200, 100) in {(r.doc_id, r.other_id) for r in found}
+    runs = lambda w: {tuple(w[x : x + 50]): x for x in range(len(w) - 49)}
+    seen, expected = set(), 0
+    for doc, w in sorted(texts):
+        for run, x in runs(w).items():
+            if run in seen:
+                expected += 1
+                assert any(r.doc_id == doc and r.start <= x and x + 50 <= r.end for r in found), (doc, x)
+        seen |= set(runs(w))
+    assert expected > 100
+
+
+def test_passages_of_one_word(spark):
+    """Texts of one word over and over are told of without a row for each place."""
+    docs = rows(spark, (1, " ".join(["one"] * 120)), (2, " ".join(["one"] * 400)))
+    found = sorted((r.start, r.end) for r in repeated_passages(docs).collect())
+    assert all(any(a <= x and x + 50 <= b for a, b in found) for x in range(351)) and len(found) < 60
+
+
 def test_chains_like_quadratic(spark):
     """The Fenwick tree gives the best chain that trying all predecessors gives."""
     rng = np.random.default_rng(1)
