@@ -216,6 +216,57 @@ def q_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_variants(spark, sf_dir), "x").select("id", report.alias("report"))
 
 
+# The q_* queries and their SQL replace four pages of five by variants; whole_q_* measure every page whole, with the variants beside.
+_BESIDE_PAGES = "(SELECT page_id * 2 AS id, html AS x FROM pages UNION ALL SELECT page_id * 2 + 1 AS id, " + _VARIANTS + " AS x FROM pages)"
+
+
+def _whole_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    whole = pages.select((F.col("page_id") * 2).alias("id"), F.col("html").alias("x"))
+    return whole.union(pages.select((F.col("page_id") * 2 + 1).alias("id"), F.expr(_VARIANTS).alias("x")))
+
+
+def _whole_measure_query(name: str, keys: tuple[str, ...]) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = quality.measures(F.col("x"))
+        return _whole_pages(spark, sf_dir).select("id", *(found[k].cast("long").alias(k) for k in keys))
+
+    QUERIES[f"whole_{name}"] = run
+
+
+for _name, _keys in (
+    ("q_tag_count", ("n_tags",)), ("q_table_tags", ("n_table",)), ("q_script", ("n_script",)), ("q_style", ("n_style",)), ("q_newlines", ("n_newlines",)), ("q_content_len", ("content",)),
+):
+    _whole_measure_query(_name, _keys)
+
+
+@query("whole_q_html_ratio")
+def whole_q_html_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = quality.measures(F.col("x"))
+    return _whole_pages(spark, sf_dir).select("id", F.coalesce(quality.percent(m["html_chars"], m["n_chars"]), F.lit(0).cast("long")).alias("tenths"))
+
+
+@query("whole_q_score")
+def whole_q_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_whole_pages(spark, sf_dir), "x").select("id", F.col("quality.score").cast("long").alias("score"), "quality.is_valid")
+
+
+@query("whole_q_messages")
+def whole_q_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = lambda c: F.array_join(f"quality.{c}", "|").alias(c)
+    return quality.score(_whole_pages(spark, sf_dir), "x").select("id", joined("issues"), joined("warnings"))
+
+
+@query("whole_q_report")
+def whole_q_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = quality.report(F.col("quality.score"), F.col("quality.issues"), F.col("quality.warnings"))
+    return quality.score(_whole_pages(spark, sf_dir), "x").select("id", report.alias("report"))
+
+
+for _name in [n for n in ORACLE_SQL if n.startswith("q_")]:
+    ORACLE_SQL[f"whole_{_name}"] = ORACLE_SQL[_name].replace(_SCORED, _BESIDE_PAGES)
+
+
 # --- pages ----------------------------------------------------------------------------------------------------------
 @query("pages_scan", "SELECT page_id, url, length(html) AS n_chars, CAST(200 AS BIGINT) AS http_status FROM pages")
 def pages_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

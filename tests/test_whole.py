@@ -20,3 +20,12 @@ def test_clean_up_of_whole_texts(name, spark, long_text):
     for doc in (1, 3):
         missing = [w for w in WORDS if w not in found[doc * factor]]
         assert missing in ([], [WORDS[200 // 9]])  # the noise parts the word at character 200
+
+
+@pytest.mark.parametrize("page", range(5))
+def test_scores_of_whole_pages(spark, tmp_path, page):
+    html = "<p>text</p>" * 400 + "<script></script>"
+    spark.createDataFrame([(page, "u", html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    one = lambda name: catalog.QUERIES[f"whole_{name}"](spark, str(tmp_path)).where(f"id = {2 * page}").collect()[0]
+    assert one("q_tag_count").n_tags == 802 and one("q_script").n_script == 1 and one("q_content_len").content == 1600
+    assert "802 leftover HTML tags" in one("q_messages").issues and "802 leftover HTML tags" in one("q_report").report
