@@ -35,6 +35,8 @@ LINKED = (
     "'[again](https://a.example/', doc_id % 7, ') ![pic](https://img.example/p.png) [mail](mailto:x@y.z) [rel](/x) [anchor](#a) [ftp](ftp://f) ', substr(text, 1, 100), "
     "' [last](https://c.example/', doc_id % 3, ' \"t\")')"
 )
+#: The same with all of the text.
+WHOLE_LINKED = LINKED.replace("substr(text, 1, 100)", "text")
 #: Whole stored files; some without a header, some with an empty title, some with Windows line ends.
 FILES = (
     "concat(case when doc_id % 11 = 0 then '' else concat('---', case when doc_id % 13 = 0 then chr(13) else '' end, chr(10), 'title: ', "
@@ -580,12 +582,12 @@ _WEB = f"SELECT * FROM ({_ALL}) WHERE href LIKE 'http://%' OR href LIKE 'https:/
 _UNIQUE = f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS pos, text, href FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, href ORDER BY pos) AS rn FROM ({_WEB})) WHERE rn = 1"
 
 
-def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir, LINKED).select("doc_id", frontmatter.strip(F.col("x")).alias("b"))
+def _bodies(spark: SparkSession, sf_dir: str, expression: str = LINKED) -> DataFrame:
+    return documents(spark, sf_dir, expression).select("doc_id", frontmatter.strip(F.col("x")).alias("b"))
 
 
-def _exploded(spark: SparkSession, sf_dir: str, keep: Callable[[Column], Column] | None = None) -> DataFrame:
-    rows = _bodies(spark, sf_dir).select("doc_id", F.posexplode(links.links(F.col("b"))).alias("pos", "x"))
+def _exploded(spark: SparkSession, sf_dir: str, keep: Callable[[Column], Column] | None = None, expression: str = LINKED) -> DataFrame:
+    rows = _bodies(spark, sf_dir, expression).select("doc_id", F.posexplode(links.links(F.col("b"))).alias("pos", "x"))
     rows = rows.select("doc_id", (F.col("pos") + 1).cast("long").alias("pos"), "x.text", "x.href")
     return rows if keep is None else rows.where(keep(F.col("href")))
 
@@ -753,3 +755,37 @@ def pipeline_e2e(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = route.fetch(pages, rendered)
     joined = lambda c: F.array_join(c, "|").alias(c)
     return found.select("url", "success", "markdown", "title", "score", joined("issues"), joined("warnings"), "error", "used_rendered", "rendered_reason")
+
+
+# --- links of whole texts -------------------------------------------------------------------------------------------
+# The link queries and their SQL read the first 100 characters of a text; these read all of it.
+_WHOLE_SQL = {n: ORACLE_SQL[n].replace(LINKED, WHOLE_LINKED) for n in ("links_all", "links_http", "links_dedup", "links_count", "render_links")}
+
+
+@query("whole_links_all", _WHOLE_SQL["links_all"])
+def whole_links_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _exploded(spark, sf_dir, expression=WHOLE_LINKED)
+
+
+@query("whole_links_http", _WHOLE_SQL["links_http"])
+def whole_links_http(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _exploded(spark, sf_dir, links.is_web, WHOLE_LINKED)
+
+
+@query("whole_links_dedup", _WHOLE_SQL["links_dedup"])
+def whole_links_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.exploded(_bodies(spark, sf_dir, WHOLE_LINKED), "doc_id", "b").withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("whole_links_count", _WHOLE_SQL["links_count"])
+def whole_links_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir, WHOLE_LINKED)
+    state = rows.select(F.lit("temporary").alias("status"), F.concat(F.lit(".tmp/doc-"), "doc_id", F.lit(".md")).alias("filepath"), F.col("x").alias("value"))
+    asked = rows.select(F.concat(F.lit("doc-"), "doc_id").alias("ref_id")).union(spark.createDataFrame([("none",)], "ref_id string"))
+    return store.reference_links(state, asked)[0]
+
+
+@query("whole_render_links", _WHOLE_SQL["render_links"])
+def whole_render_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = links.exploded(_bodies(spark, sf_dir, WHOLE_LINKED), "doc_id", "b")
+    return found.select("source_ref", F.col("pos").cast("long").alias("pos"), render.link(F.col("text"), F.col("href")).alias("line"))

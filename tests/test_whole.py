@@ -29,3 +29,13 @@ def test_scores_of_whole_pages(spark, tmp_path, page):
     one = lambda name: catalog.QUERIES[f"whole_{name}"](spark, str(tmp_path)).where(f"id = {2 * page}").collect()[0]
     assert one("q_tag_count").n_tags == 802 and one("q_script").n_script == 1 and one("q_content_len").content == 1600
     assert "802 leftover HTML tags" in one("q_messages").issues and "802 leftover HTML tags" in one("q_report").report
+
+
+def test_links_late_in_a_text(spark, tmp_path):
+    text = "x" * 5000 + "[late](https://late.example/a)"
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = lambda name: catalog.QUERIES[f"whole_{name}"](spark, str(tmp_path)).collect()
+    for name in ("links_all", "links_http", "links_dedup"):
+        assert ("late", "https://late.example/a") in {(r.text, r.href) for r in rows(name)}
+    assert any("https://late.example/a" in r.line for r in rows("render_links"))
+    assert {r.source_ref: r["count"] for r in rows("links_count")}["doc-1"] == len(rows("links_dedup"))
