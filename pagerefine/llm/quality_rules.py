@@ -1,7 +1,9 @@
 """Quality rules per document and per host, in DataFrame operations alone.
 
 Documents are measured and judged by rules; a host's rate of failing documents is shrunk towards the rate of all
-hosts by a beta prior fitted to the hosts' rates, and documents of a host whose shrunk rate is too high go with it.
+hosts by a beta prior fitted to the hosts' rates. Documents that fail a base rule go. A host whose rate
+is very likely above the prior's mean is suspect, and its documents that fail a style rule go as well, which other
+hosts' may keep; all documents of a host that mostly fails go with it.
 """
 
 from __future__ import annotations
@@ -19,6 +21,13 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 #: A host's verdict is bad above this shrunk rate of failing documents.
 HOST_RATE = 0.7
+#: A host's verdict is suspect if its shrunk rate, the mean of its posterior, lies so many of the posterior's deviations
+#: above the prior's mean: its rate is then higher than that with a probability of about 0.84.
+DEVIATIONS = 1.0
+#: Rates nearer than this count as equal.
+NEAR = 1e-9
+#: The least and the most characters of a usual text's mean word.
+MEAN_WORD = (3, 10)
 #: Weight of the prior, in documents, where the hosts' rates don't vary and so give none.
 FLAT_WEIGHT = 1.0
 #: Parts over which a host's documents are spread when verdicts are joined back.
@@ -30,6 +39,10 @@ class BetaPrior:
     a: float
     b: float
 
+    @property
+    def mean(self) -> float:
+        return self.a / (self.a + self.b)
+
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of whole texts; null is empty.
@@ -67,14 +80,17 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def rules_failed() -> Column:
-    """The base rules, or more than a symbol for every second word."""
-    return base_failed() | (2 * F.col("n_symbols") > F.col("n_words"))
+def style_failed() -> Column:
+    """More than a symbol for every second word, or words that are very short or very long on average."""
+    low, high = MEAN_WORD
+    n, chars = F.col("n_words"), F.col("word_chars")
+    return (2 * F.col("n_symbols") > n) | (chars < low * n) | (chars > high * n)
 
 
 def host_rates(measured: DataFrame) -> DataFrame:
     """host, n, k: documents and failing ones. Partial sums keep a frequent host from gathering in one task."""
-    return measured.where("host is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count_if(rules_failed()).alias("k"))
+    failed = F.count_if(base_failed() | style_failed())
+    return measured.where("host is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n"), failed.alias("k"))
 
 
 def fit_prior(rates: DataFrame) -> BetaPrior:
@@ -89,29 +105,45 @@ def fit_prior(rates: DataFrame) -> BetaPrior:
     return BetaPrior(m * weight, (1 - m) * weight)
 
 
-def judge(measured: DataFrame, host_rate: float = HOST_RATE) -> DataFrame:
-    """measured with base_failed, kept, host_rate: kept is false where a base rule fails or the host's verdict is bad.
+def host_verdicts(rates: DataFrame, host_rate: float = HOST_RATE, deviations: float = DEVIATIONS) -> DataFrame:
+    """host, host_rate, host_verdict: the shrunk rate, and `bad`, `suspect` or `good`."""
+    prior = fit_prior(rates)
+    weight, rate = F.col("n") + F.lit(prior.a + prior.b), F.col("host_rate")
+    deviation = F.sqrt(rate * (1 - rate) / (weight + 1))
+    suspect = rate > F.lit(prior.mean + NEAR) + deviations * deviation
+    verdict = F.when(rate > host_rate, "bad").when(suspect, "suspect").otherwise("good")
+    rates = rates.withColumn("host_rate", (F.col("k") + F.lit(prior.a)) / weight)
+    return rates.select("host", "host_rate", verdict.alias("host_verdict"))
+
+
+def judge(measured: DataFrame, host_rate: float = HOST_RATE, deviations: float = DEVIATIONS) -> DataFrame:
+    """measured with base_failed, style_failed, kept, host_rate, host_verdict.
 
-    A document without a host has no verdict against it. Verdicts are replicated over salts and joined by host and
-    salt, so that a host with a third of all documents is spread over tasks.
+    kept is false where a base rule fails, where the host is bad, and where a style rule fails and the host is
+    suspect. A document without a host has no rate and no verdict against it. Verdicts are replicated over salts and
+    joined by host and salt, so that a host with a third of all documents is spread over tasks.
     """
-    rates = host_rates(measured)
-    prior = fit_prior(rates)
-    shrunk = (F.col("k") + F.lit(prior.a)) / (F.col("n") + F.lit(prior.a + prior.b))
-    bad = rates.withColumn("host_rate", shrunk).where(F.col("host_rate") > host_rate)
-    bad = bad.select("host", "host_rate", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    verdicts = host_verdicts(host_rates(measured), host_rate, deviations)
+    verdicts = verdicts.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = measured.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    kept = ~F.col("base_failed") & F.col("host_rate").isNull()
-    return salted.join(bad, ["host", "salt"], "left").withColumn("base_failed", base_failed()).withColumn("kept", kept)
+    verdict = F.coalesce("host_verdict", F.lit("good"))
+    kept = ~(F.col("base_failed") | (verdict == "bad") | ((verdict == "suspect") & F.col("style_failed")))
+    judged = salted.join(verdicts, ["host", "salt"], "left").withColumns({"base_failed": base_failed(), "style_failed": style_failed()})
+    return judged.withColumn("kept", kept).drop("salt")
 
 
-def quality_rules(docs: DataFrame, host_rate: float = HOST_RATE) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
+def quality_rules(docs: DataFrame, host_rate: float = HOST_RATE, deviations: float = DEVIATIONS) -> DataFrame:
+    """One row per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
+    style_failed, host_verdict, host_rate (to four places).
 
-    Measures are stored once, without texts, as both the hosts' rates and the verdicts need them.
+    Measures are stored once, without texts, as both the hosts' rates and the verdicts need them. Null, empty and
+    blank texts have zeros and fail. host_verdict and host_rate are null where the host is.
     """
-    out = judge(stored(measure(docs), "quality"), host_rate)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    out = judge(stored(measure(docs), "quality"), host_rate, deviations)
+    return out.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "style_failed", "host_verdict", F.round("host_rate", 4).alias("host_rate"),
+    )
 
 
 ORACLE = f"""
@@ -125,11 +157,14 @@ ORACLE = f"""
                  CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
                  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
           FROM (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM w) w LEFT JOIN rep USING (doc_id)),
-    f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
-    rates AS (SELECT host, count(*) AS n, count(*) FILTER (base_failed OR 2 * n_symbols > n_words) AS k FROM f WHERE host IS NOT NULL GROUP BY host),
+    f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+                 2 * n_symbols > n_words OR word_chars < {MEAN_WORD[0]} * n_words OR word_chars > {MEAN_WORD[1]} * n_words AS style_failed FROM m),
+    rates AS (SELECT host, count(*) AS n, count(*) FILTER (base_failed OR style_failed) AS k FROM f WHERE host IS NOT NULL GROUP BY host),
     mom AS (SELECT coalesce(avg(k / n), 0) AS mu, coalesce(var_pop(k / n), 0) AS v FROM rates),
     prior AS (SELECT mu, CASE WHEN v > 0 THEN greatest({FLAT_WEIGHT}, mu * (1 - mu) / v - 1) ELSE {FLAT_WEIGHT} END AS weight FROM mom),
-    bad AS (SELECT host FROM rates, prior WHERE (k + mu * weight) / (n + weight) > {HOST_RATE})
+    shrunk AS (SELECT host, mu, n + weight AS w, (k + mu * weight) / (n + weight) AS r FROM rates, prior),
+    verdicts AS (SELECT host, r, CASE WHEN r > {HOST_RATE} THEN 'bad' WHEN r > mu + {NEAR} + {DEVIATIONS} * sqrt(r * (1 - r) / (w + 1)) THEN 'suspect' ELSE 'good' END AS host_verdict FROM shrunk)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-           NOT base_failed AND (host IS NULL OR host NOT IN (SELECT host FROM bad)) AS kept
-    FROM f"""
+           NOT (base_failed OR coalesce(host_verdict, 'good') = 'bad' OR (coalesce(host_verdict, 'good') = 'suspect' AND style_failed)) AS kept,
+           style_failed, host_verdict, round(r, 4) AS host_rate
+    FROM f LEFT JOIN verdicts USING (host)"""

@@ -351,6 +351,20 @@ def test_quality_odd_and_hosts(spark):
     assert got[1].kept and got[2].base_failed and got[3].n_repeat_words == 90 and got[3].base_failed
     assert got[4].n_words == 0 and got[4].base_failed and got[5].n_dup_lines == 1 and got[5].kept
     assert not got[50].base_failed and not got[50].kept and all(got[60 + i].kept for i in range(30))
+    assert got[50].host_verdict == "bad" and got[50].host_rate > 0.7 and got[1].host_rate is not None and got[4].host_verdict is None
+
+
+def test_quality_suspect_host(spark):
+    """A document that fails a style rule alone goes where its host is worse than others, and stays elsewhere."""
+    good, loud = " ".join(f"word{i}" for i in range(60)), " ".join(f"w{i} ##" for i in range(60))
+    texts = [(h, "few words" if i % 10 < failing else good) for h, failing in (("a", 1), ("b", 1), ("c", 1), ("d", 4)) for i in range(40)]
+    texts += [("a", loud), ("d", loud), (None, loud)]
+    docs = spark.createDataFrame([(i, t, h) for i, (h, t) in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in quality_rules(docs).collect()}
+    assert [got[i].style_failed for i in (160, 161, 162)] == [True] * 3 and not any(got[i].base_failed for i in (160, 161, 162))
+    assert [got[i].kept for i in (160, 161, 162)] == [True, False, True]
+    assert {r.host_verdict for r in got.values()} == {"good", "suspect", None}
+    assert all(r.kept != r.base_failed for i, r in got.items() if i != 161)
 
 
 # --- 9 --------------------------------------------------------------------------------------------------------------
