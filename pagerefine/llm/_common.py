@@ -20,9 +20,16 @@ ROWS_PER_STEP = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local session, whose executors are the driver itself, gets a folder of its own; on a cluster
+    that would be a machine's own disk, so it is an error there.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="pagerefine-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -35,21 +42,19 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 #: Rows and bytes of an Arrow batch on its way to a worker; bound what the JVM and the worker hold of long texts.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
-#: A table of at most so many narrow rows is broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 1_000_000
+#: A table of at most so many rows and bytes of Parquet is broadcast; a larger one is shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 16 << 20
 
 
 def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write df below the shared folder and read it back: cuts the lineage, survives lost executors.
 
-    The table has at most four files for each core of the cluster, so that small ones don't become thousands; where
-    the number of rows is known, one for each half million at most.
+    The tasks that compute df write its files, as many as there are; where the number of rows is known, at most one
+    for each half million, so that the rounds over a small table don't make thousands.
     """
     spark, schema = df.sparkSession, df.schema
     path = new_path(spark, name)
-    most = 4 * spark.sparkContext.defaultParallelism
-    files = most if rows is None else min(most, 1 + rows // 500_000)
-    df.coalesce(files).write.parquet(path)
+    (df if rows is None else df.coalesce(1 + rows // 500_000)).write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out.stored_at = path
     return out
@@ -63,8 +68,9 @@ def discard(*tables: DataFrame) -> None:
 
 
 def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A stored table, to be broadcast if its rows, counted from Parquet footers, are few enough, else shuffled."""
-    return F.broadcast(df) if df.count() <= most else df
+    """A stored table, to be broadcast if its rows, counted from Parquet footers, and its files' bytes are few enough."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return F.broadcast(df) if size <= BROADCAST_BYTES and df.count() <= most else df
 
 
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:

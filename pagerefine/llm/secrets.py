@@ -11,9 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-from ._common import BROADCAST_ROWS, new_path, stored
+from ._common import bounded, new_path, stored
 
 
 def either_case(word: str) -> str:
@@ -86,6 +85,9 @@ def scan_blobs(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return rows.where(F.col("value") >= least).select("blob", "kind", version.alias("version"), (F.col("end") - F.col("size")).alias("start"), "end")
 
 
+LEDGER = {"pairs": "blob string, kind string, version int", "findings": "blob string, kind string, version int, start long, end long"}
+
+
 class BlobLedger:
     """Scanned pairs and findings below a folder in a store that driver and executors share."""
 
@@ -93,10 +95,9 @@ class BlobLedger:
         self.spark, self.folder = spark, folder or new_path(spark, "ledger")
 
     def _read(self, name: str) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(f"{self.folder}/{name}")
-        except AnalysisException:
-            return None
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        there = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return self.spark.read.schema(LEDGER[name]).parquet(f"{self.folder}/{name}") if there else None
 
     def pairs(self) -> DataFrame | None:
         """blob, kind, version of all scanned pairs; None before the first scan."""
@@ -106,7 +107,7 @@ class BlobLedger:
         """Findings of the rules' current versions."""
         found = self._read("findings")
         if found is None:
-            return self.spark.createDataFrame([], "blob string, kind string, version int, start long, end long")
+            return self.spark.createDataFrame([], LEDGER["findings"])
         current = F.coalesce(*(F.when(F.col("kind") == r.kind, F.col("version") == r.version) for r in rules), F.lit(False))
         return found.where(current).dropDuplicates(["blob", "kind", "version", "start"])
 
@@ -122,11 +123,10 @@ class BlobLedger:
         blobs = all_.groupBy("blob").agg(F.min("path").alias("first"))
         todo = unseen_pairs(blobs, rules, self.pairs()).select(F.col("blob").alias("b"), "first", "kinds")
         texts = all_.join(todo, F.col("path").eqNullSafe(F.col("first")) & (F.col("blob") == F.col("b"))).select("blob", "text", "kinds")
-        few = 4 * self.spark.sparkContext.defaultParallelism
-        scan_blobs(texts, rules).coalesce(few).write.mode("append").parquet(f"{self.folder}/findings")
+        scan_blobs(texts, rules).write.mode("append").parquet(f"{self.folder}/findings")
         version = F.coalesce(*(F.when(F.col("kind") == r.kind, r.version) for r in rules))
         done = todo.select(F.col("b").alias("blob"), F.explode("kinds").alias("kind")).withColumn("version", version)
-        done.coalesce(few).write.mode("append").parquet(f"{self.folder}/pairs")
+        done.write.mode("append").parquet(f"{self.folder}/pairs")
 
 
 def secret_report(versions: DataFrame, ledger: BlobLedger, rules: tuple[Rule, ...] = RULES, path_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,9 +167,9 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str =
     names = docs.columns
     inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
     ledger.scan(inner.select(F.col("row.doc_id").alias("path"), F.col("row.text").alias("text")), rules)
-    found = stored(ledger.findings(rules), "findings")
+    found = ledger.findings(rules)
     spans = found.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    spans = F.broadcast(spans) if found.count() <= BROADCAST_ROWS else spans
+    spans = bounded(stored(spans, "spans"))
     rows = inner.withColumn("blob", content_address(F.col("row.text"))).join(spans, "blob", "left")
     text = F.col("row.text")
 
