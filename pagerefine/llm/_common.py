@@ -69,7 +69,7 @@ def discard(*tables: DataFrame) -> None:
 
 def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """A stored table, to be broadcast if its rows, counted from Parquet footers, and its files' bytes are few enough."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return F.broadcast(df) if size <= BROADCAST_BYTES and df.count() <= most else df
 
 

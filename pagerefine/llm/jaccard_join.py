@@ -23,12 +23,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import binary, bounded, discard, map_arrow, steps, stored
+from ._common import bounded, discard, map_arrow, steps, stored
 from .graph import connected_components
+from .words import hashed_words, mix
 
-# Odd multipliers and the finalizer that mix the hashes of a shingle's words.
+# Odd multipliers of the hashes of a shingle's words.
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
-_FINAL = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 #: Texts are counted in blocks of about so many words, which bounds a worker's memory.
 BLOCK_WORDS = 2 << 20
@@ -43,17 +43,6 @@ SKETCH_BITS = 1024
 COMBINED = 48
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(_FINAL[0])
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(_FINAL[1])
-    return h ^ (h >> np.uint64(31))
-
-
-def word_hashes(text: bytes | None) -> np.ndarray:
-    """Words are runs of bytes other than ASCII white space, A-Z lower-cased."""
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, (text or b"").lower().split()), np.uint64)
-
-
 def windows(words: np.ndarray, width: int) -> np.ndarray:
     """Hashes of the windows of `width` words in order; of all words as one where there are fewer, of none if none."""
     n, used = max(1, len(words) - width + 1), min(width, len(words))
@@ -62,12 +51,7 @@ def windows(words: np.ndarray, width: int) -> np.ndarray:
     h = np.full(n, used, np.uint64)
     for i in range(used):
         h += words[i : i + n] * np.uint64(_MULTIPLIERS[i % len(_MULTIPLIERS)] + 2 * (i // len(_MULTIPLIERS)))
-    return _mix(h)
-
-
-def shingles(text: bytes | None, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's windows."""
-    return distinct(windows(word_hashes(text), width))
+    return mix(h)
 
 
 def distinct(h: np.ndarray) -> np.ndarray:
@@ -163,13 +147,13 @@ def signatures(tokens: np.ndarray, weight: np.ndarray, order: TokenOrder, thresh
     if len(frequent):
         at = np.arange(singles, probe)
         own = 2 if short or len(frequent) > COMBINED else 1
-        sig.append(_mix(frequent))
+        sig.append(mix(frequent))
         place.append(at)
         role.append(np.full(len(frequent), own, np.int8))
         small.append(at < index)
         if own == 1:
             i, j = np.triu_indices(len(frequent), 1)
-            sig.append(_mix(frequent[i] * np.uint64(_MULTIPLIERS[0]) + frequent[j] * np.uint64(_MULTIPLIERS[1])))
+            sig.append(mix(frequent[i] * np.uint64(_MULTIPLIERS[0]) + frequent[j] * np.uint64(_MULTIPLIERS[1])))
             place.append(at[i])
             role.append(np.zeros(len(i), np.int8))
             small.append(at[j] < index)
@@ -212,8 +196,7 @@ def set_sizes(docs: DataFrame, width: int) -> DataFrame:
             if last is not None:
                 yield out(*last)
             sids, sizes, sketches = [], [], []
-            for text in binary(b.column(1)):
-                w = word_hashes(text)
+            for w in hashed_words(b.column(1)):
                 t = distinct(windows(w, width))
                 sizes.append(len(t))
                 sids.append(set_id(t) if len(t) else None)
@@ -290,8 +273,8 @@ def signature_rows(docs: DataFrame, width: int, threshold: Threshold, order: Tok
         row = np.dtype([("sid", f"V{id_size}"), ("n", ">i4"), ("place", ">i4"), ("flags", ">i4")])
         for b in steps(batches, 128):
             own: list[tuple] = []
-            for text in binary(b.column(1)):
-                tokens, weight = spread.value.set_of(word_hashes(text), width)
+            for words in hashed_words(b.column(1)):
+                tokens, weight = spread.value.set_of(words, width)
                 sid = set_id(tokens)[:id_size]
                 if not len(tokens) or sid in seen:
                     continue
@@ -326,7 +309,7 @@ def token_sets(docs: DataFrame, first: DataFrame, pairs: DataFrame, width: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, 128):
-            sets = [shingles(t, width) for t in binary(b.column(0))]
+            sets = [distinct(windows(w, width)) for w in hashed_words(b.column(0))]
             sets = [s for s in sets if len(s)]
             offsets = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
             values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)

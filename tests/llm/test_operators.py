@@ -8,6 +8,7 @@ import struct
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import zstandard
@@ -23,8 +24,9 @@ from pagerefine.llm.language_id import UNKNOWN, fit_profiles, identify_languages
 from pagerefine.llm.licenses import LicenseIndex, scan_licenses
 from pagerefine.llm.quality_rules import quality_rules
 from pagerefine.llm.secrets import RULES, BlobLedger, Rule, redact_secrets, scan_secrets, secret_report
-from pagerefine.llm.substring_dedup import Passages, chains, minimizers, repeated_passages
+from pagerefine.llm.substring_dedup import chains, common, minimizers, repeated_passages
 from pagerefine.llm.token_counts import token_counts
+from pagerefine.llm.words import hashed_words
 from tests.conftest import DATA
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -248,6 +250,73 @@ def test_passages_of_one_word(spark):
     assert all(any(a <= x and x + 50 <= b for a, b in found) for x in range(351)) and len(found) < 60
 
 
+def test_edited_passages(spark):
+    """Nine tenths at least of passages of 60 words and more with one word in twelve replaced, left out or doubled."""
+    rng = random.Random(21)
+    new = lambda n: [f"e{rng.randrange(10**7)}" for _ in range(n)]
+    texts, planted = [], 150
+    for i in range(planted):
+        passage, edited = new(rng.randrange(60, 120)), []
+        for k, w in enumerate(passage):
+            how = rng.randrange(3) if k % 12 == 6 else 3
+            edited += [new(1), [], [w, *new(1)], [w]][how]
+        texts += [(i, new(60) + passage + new(60)), (1000 + i, new(40) + edited + new(40))]
+    found = repeated_passages(rows(spark, *((i, " ".join(w)) for i, w in texts))).collect()
+    assert all(r.doc_id == 1000 + r.other_id and r.identity >= 0.8 for r in found)
+    assert len({r.doc_id for r in found}) >= 0.9 * planted
+
+
+@pytest.mark.parametrize("seen", [2, 10**6])
+def test_passages_of_frequent_seeds(spark, monkeypatch, seen):
+    """Rows of a seed that a third of all texts have are spread; what is found stays the same."""
+    monkeypatch.setattr("pagerefine.llm.substring_dedup.HOT_SEEN", seen)
+    rng = random.Random(4)
+    new = lambda n: [f"f{rng.randrange(10**6)}" for _ in range(n)]
+    line, passage, late = new(30), new(70), new(40)
+    texts = [(i, new(30) + (line if i % 3 else line + late) + new(30) + (passage if i % 2 else [])) for i in range(60)]
+    found = {(r.doc_id, r.other_id, r.end - r.start) for r in repeated_passages(rows(spark, *((i, " ".join(w)) for i, w in texts))).collect()}
+    assert found == {(i, 1, 70) for i in range(3, 60, 2)} | {(i, 0, 70) for i in range(3, 60, 3)}
+
+
+def test_passages_odd(spark, odd):
+    """Null ids, long texts, repeated rows, and ties between the first documents; a null id comes last of all."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = odd.unionByName(rows(spark, (None, passage), (20, f"a {passage}"), (20, f"b b {passage}"), (21, passage), (22, LONG), (22, LONG)))
+    got = repeated_passages(docs).collect()
+    found = Counter((r.doc_id, r.other_id, r.n_words) for r in got)
+    assert found[None, 20, 60] and found[20, 20, 60] == 1 and found[21, 20, 60] == 1
+    assert {(a, b) for a, b, _ in found} == {(None, 20), (20, 20), (21, 20), (22, 5)}
+    long = sorted((r.start, r.end) for r in got if r.doc_id == 22)  # its words repeat after 12 961
+    assert all(any(a <= x and x + 50 <= b for a, b in long) for x in range(0, 30_000 - 49, 7))
+
+
+def test_common_subsequence():
+    rng = random.Random(2)
+    for _ in range(200):
+        a, b = ([rng.randrange(4) for _ in range(rng.randrange(9))] for _ in range(2))
+        table = defaultdict(int)
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i, j] = table[i - 1, j - 1] + 1 if x == y else max(table[i - 1, j], table[i, j - 1])
+        assert common(a, b) == table[len(a) - 1, len(b) - 1]
+
+
+def test_words_of_columns():
+    """Words of a column hash as the same words elsewhere do, whatever pieces texts are cut into."""
+    rng = random.Random(6)
+    texts = [None if rng.random() < 0.1 else "".join(rng.choice("abAB é\n\t\x0b ") for _ in range(rng.choice([0, 1, 9, 300]))) for _ in range(300)]
+    texts += ["x" * 200_000 + " a " + "y" * 20_000, "z " * 100_000, "x" * 200_000, "y" * 20_000 + " X"]
+    column = pa.array(texts)
+    known: dict[bytes, int] = {}
+    for kind in (column, column.cast(pa.large_string()), column.slice(7)):
+        found = list(hashed_words(kind))
+        assert len(found) == len(kind)
+        for text, own in zip(kind.to_pylist(), found, strict=True):
+            parts = (text or "").encode().lower().split()
+            assert len(parts) == len(own) and all(known.setdefault(w, h) == h for w, h in zip(parts, own.tolist(), strict=True))
+    assert len(set(known.values())) == len(known)
+
+
 def test_chains_like_quadratic(spark):
     """The Fenwick tree gives the best chain that trying all predecessors gives."""
     rng = np.random.default_rng(1)
