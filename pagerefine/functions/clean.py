@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import TRIM, WHITE, is_blank
+from .text import TRIM, WHITE, is_blank, once
 
 _FENCE = "```"
 
@@ -112,14 +112,9 @@ def clean_finish(text: Column) -> Column:
     return F.when(is_blank(text), text).otherwise(F.concat(_apply(text, FINISH), F.lit("\n")))
 
 
-def _once(value: Column, use) -> Column:
-    """use(value), with value computed once however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def clean_markdown(text: Column) -> Column:
     """All three stages; blank text stays as it is."""
-    return F.when(is_blank(text), text).otherwise(_once(_apply(_apply(text, STRUCTURE), CONTENT), clean_finish))
+    return F.when(is_blank(text), text).otherwise(once(_apply(_apply(text, STRUCTURE), CONTENT), clean_finish))
 
 
 def stage_sql(stage: str, text: str) -> str:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import once
+
 # Fixed value: a link; images match too, and a title stays in the address.
 LINK = r"\[([^\]]+)\]\(([^)]+)\)"
 
@@ -22,11 +24,18 @@ def is_web(href: Column) -> Column:
 def web_links(text: Column) -> Column:
     """Links with http or https addresses, the first of each address, in order.
 
-    Kept within the row: no shuffle, however many links all rows have together.
+    Kept within the row: no shuffle, however many links all rows have together. A row's links are sorted by address
+    and place, which brings the first of each to the front, and back by place.
     """
     found = F.filter(links(text), lambda x: is_web(x["href"]))
-    hrefs = F.transform(found, lambda x: x["href"])
-    return F.filter(found, lambda x, i: F.array_position(hrefs, x["href"]) == i + 1)
+    keyed = F.sort_array(F.transform(found, lambda x, i: F.struct(x["href"].alias("href"), i.alias("i"), x["text"].alias("text"))))
+
+    def firsts(by_href: Column) -> Column:
+        fresh = lambda x, k: (k == 0) | (F.get(by_href, k - 1)["href"] != x["href"])
+        placed = F.transform(F.filter(by_href, fresh), lambda x: F.struct(x["i"].alias("i"), x["text"].alias("text"), x["href"].alias("href")))
+        return F.transform(F.sort_array(placed), lambda x: F.struct(x["text"].alias("text"), x["href"].alias("href")))
+
+    return once(keyed, firsts)
 
 
 def exploded(df: DataFrame, source: str, text: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,3 +62,8 @@ def slug(title: Column) -> Column:
     """Lower case, runs of other than a-z and 0-9 as one dash, none at the ends, at most 60 characters."""
     dashed = F.regexp_replace(F.lower(title), "[^a-z0-9]+", "-")
     return F.substring(F.regexp_replace(dashed, r"\A-|-\z", ""), 1, 60)
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

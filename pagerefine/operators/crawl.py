@@ -16,9 +16,11 @@ def status(fetched: Column, save_error: Column, already: Column) -> Column:
 def fetch_links(state: DataFrame, links: DataFrame, fetched: DataFrame, day: Column, refetch: bool = False, temp_dir: str = ".tmp") -> tuple[DataFrame, DataFrame]:
     """Results pos, url, status, ref_id, error for links(pos, href), and the new state.
 
-    fetched: url, success, title, markdown, error of pages at hand; a link without one failed. One join for all links.
+    fetched: url, success, title, markdown, error of pages at hand; a link without one failed. Of pages of one url, those that succeeded come first, then
+    the first by title and text counts. One join for all links.
     """
-    pages = fetched.select(F.col("url").alias("href"), "success", "title", "markdown", F.col("error").alias("fetch_error")).dropDuplicates(["href"])
+    page = F.struct((~F.coalesce("success", F.lit(False))).alias("failed"), "title", "markdown", F.col("error").alias("fetch_error"), "success")
+    pages = fetched.groupBy(F.col("url").alias("href")).agg(F.min(page).alias("p")).select("href", "p.success", "p.title", "p.markdown", "p.fetch_error")
     rows = links.select("pos", "href").join(pages, "href", "left")
     ok = F.coalesce("success", F.lit(False))
     batch = rows.where(ok).select(

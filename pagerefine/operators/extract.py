@@ -11,7 +11,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from pagerefine.functions.article import extract
 from pagerefine.functions.clean import clean_markdown
-from pagerefine.functions.shipping import ship
+from pagerefine.functions.shipping import ship, small_batches
 
 FIELDS = ("body", "title", "byline", "excerpt", "site_name", "error")
 #: Pages handled at a time; bounds a worker's memory.
@@ -37,6 +37,7 @@ def with_extraction(df: DataFrame, url_col: str = "url", html_col: str = "html",
     All other columns ride along, so that nothing has to be joined back. A page without an article has only an error.
     """
     ship(df.sparkSession)
+    small_batches(df.sparkSession)
     rest = [c for c in df.columns if c != html_col]
     names = [prefix + f for f in FIELDS]
     schema = StructType([df.schema[c] for c in rest] + [StructField(n, StringType()) for n in names])

@@ -49,13 +49,15 @@ def fetch(pages: DataFrame, rendered: DataFrame, min_score: int = 60, retry: int
 
     url, success, markdown, title, byline, excerpt, site_name, score, issues, warnings, error, suggestion,
     used_rendered, rendered_reason. Each page is extracted once, and its rendered one only where the plain one isn't
-    accepted; one join by url. A page without a rendered row fails there.
+    accepted; one join by url. A page without a rendered row fails there; of several, those without
+    an error come first, then the first by html counts.
     """
     columns = ("markdown", "title", "byline", "excerpt", "site_name")
     plain = pages.select("url", F.when(F.col("error").isNull(), F.col("html")).alias("html"), F.col("error").alias("fetch_error"))
     simple = score(with_extraction(plain), "markdown", "quality")
     simple = simple.withColumn("why", reason(F.col("fetch_error"), F.col("error"), F.col("quality.score"), min_score, retry, force))
-    shown = rendered.dropDuplicates(["url"]).select("url", F.col("html").alias("r_html"), F.col("error").alias("r_fetch_error"), F.lit(True).alias("r_there"))
+    page = F.struct(F.col("error").isNotNull().alias("failed"), "html", "error")
+    shown = rendered.groupBy("url").agg(F.min(page).alias("p")).select("url", F.col("p.html").alias("r_html"), F.col("p.error").alias("r_fetch_error"), F.lit(True).alias("r_there"))
     both = simple.join(shown, "url", "left").withColumn("r_html", F.when(F.col("why").isNotNull() & F.col("r_fetch_error").isNull(), F.col("r_html")))
     both = score(with_extraction(both, "url", "r_html", "r_"), "r_markdown", "r_quality")
     r_fetch = F.coalesce("r_fetch_error", F.when(F.col("r_there").isNull(), F.lit("no rendered page")))

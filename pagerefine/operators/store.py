@@ -5,9 +5,8 @@ State is a DataFrame of status, filepath, value; every operator returns a new on
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from pagerefine.functions import frontmatter, links
 from pagerefine.functions.text import base_name, join_path, slug
@@ -33,14 +32,14 @@ def list_references(state: DataFrame) -> DataFrame:
 
 def find_by_url(state: DataFrame, urls: DataFrame) -> DataFrame:
     """For each url of urls(url), its first reference in list order, or nulls: url, ref_id, filepath. Exact equality."""
-    order = Window.partitionBy("url").orderBy(F.desc("fetched_date"), "ref_id")
-    first = _decoded(state).withColumn("__rn", F.row_number().over(order)).where("__rn = 1").select("url", "ref_id", "filepath")
+    by_day = _decoded(state).groupBy("url", "fetched_date").agg(F.min(F.struct("ref_id", "filepath")).alias("f"))
+    first = by_day.groupBy("url").agg(F.max_by("f", "fetched_date").alias("f")).select("url", "f.ref_id", "f.filepath")
     return urls.select("url").join(first, "url", "left")
 
 
 def find_by_ref(state: DataFrame, ref_ids: DataFrame) -> DataFrame:
-    """For each id of ref_ids(ref_id), its reference, or nulls: ref_id, filepath, url."""
-    first = _decoded(state).dropDuplicates(["ref_id"]).select("ref_id", "filepath", "url")
+    """For each id of ref_ids(ref_id), its reference, the first by path, or nulls: ref_id, filepath, url."""
+    first = _decoded(state).groupBy("ref_id").agg(F.min(F.struct("filepath", "url")).alias("f")).select("ref_id", "f.filepath", "f.url")
     return ref_ids.select("ref_id").join(first, "ref_id", "left")
 
 
@@ -49,13 +48,14 @@ def save(state: DataFrame, batch: DataFrame, day: Column, temp_dir: str = ".tmp"
 
     Results: seq, url, ref_id, filepath, already_exists, error. A url that is stored, or that came earlier in the
     batch, already exists unless it is refetched; then its path stays and its text is replaced. Of rows that end at
-    one path the last by seq is kept, also if their urls differ. A null title is an error.
+    one path the last by seq is kept, also if their urls differ. A null title is an error. What comes first or last is
+    found by aggregates, which are combined before their shuffles, so that one url or title may have very many rows.
     """
     known = find_by_url(state, batch.select("url").distinct()).select("url", F.col("ref_id").alias("__ref"), F.col("filepath").alias("__path"))
     own = join_path(F.lit(temp_dir), F.concat(slug(F.col("title")), F.lit(".md")))
     good = batch.withColumn("__own", own).withColumn("__slug", slug(F.col("title"))).join(known, "url", "left")
-    earlier = Window.partitionBy("url").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    rows = good.withColumn("__first", F.first(F.when(F.col("title").isNotNull(), F.struct("__slug", "__own")), ignorenulls=True).over(earlier))
+    titled = good.where("title is not null").groupBy("url").agg(F.min(F.struct("seq", "__slug", "__own")).alias("__first"))
+    rows = good.join(titled, "url", "left").withColumn("__first", F.when(F.col("__first.seq") < F.col("seq"), F.col("__first")))
     path, ref = F.coalesce("__path", "__first.__own"), F.coalesce("__ref", "__first.__slug")
     hit = path.isNotNull() & ~F.coalesce("refetch", F.lit(False))
     failed = F.col("title").isNull() & ~hit
@@ -64,8 +64,8 @@ def save(state: DataFrame, batch: DataFrame, day: Column, temp_dir: str = ".tmp"
         F.when(failed, F.lit("")).otherwise(F.coalesce(path, "__own")).alias("filepath"), hit.alias("already_exists"), F.when(failed, F.lit("title is missing")).alias("error"),
     )
     results = rows.select("seq", "url", "ref_id", "filepath", "already_exists", "error")
-    last = Window.partitionBy("filepath").orderBy(F.desc("seq"))
-    written = rows.where("not already_exists and error is null").withColumn("__rn", F.row_number().over(last)).where("__rn = 1")
+    written = rows.where("not already_exists and error is null").groupBy("filepath")
+    written = written.agg(F.max(F.struct("seq", "title", "url", "query", "content")).alias("w")).select("filepath", "w.*")
     text = frontmatter.encode(F.col("title"), F.col("url"), day, F.col("query"), F.col("content"))
     fresh = written.select(F.lit("temporary").alias("status"), "filepath", text.alias("value"))
     return results, state.join(fresh.select("filepath"), "filepath", "left_anti").select("status", "filepath", "value").unionByName(fresh)
@@ -100,7 +100,8 @@ def delete(state: DataFrame, ref_ids: DataFrame, temp_dir: str = ".tmp") -> tupl
 
 def reference_links(state: DataFrame, ref_ids: DataFrame, temp_dir: str = ".tmp") -> tuple[DataFrame, DataFrame]:
     """Links of references: source_ref, count, error; and source_ref, pos, text, href."""
-    texts = _decoded(state).dropDuplicates(["ref_id"]).select("ref_id", frontmatter.strip(F.col("value")).alias("body"))
+    texts = _decoded(state).groupBy("ref_id").agg(F.min_by("value", "filepath").alias("value"))
+    texts = texts.select("ref_id", frontmatter.strip(F.col("value")).alias("body"))
     rows = ref_ids.distinct().join(texts, "ref_id", "left")
     found = rows.select(F.col("ref_id").alias("source_ref"), "body", F.coalesce(F.size(links.web_links(F.col("body"))), F.lit(0)).cast("long").alias("count"))
     error = F.when(F.col("body").isNull(), F.concat(F.lit("Reference "), "source_ref", F.lit(f" not found in {temp_dir}")))
@@ -122,8 +123,8 @@ def write_state(state: DataFrame, folder: str) -> str:
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """A version of the store; a missing one is empty."""
-    try:
-        return spark.read.parquet(path).select(F.col("status").cast("string").alias("status"), "filepath", "value")
-    except AnalysisException:
+    """A version of the store; a missing one is empty, a damaged one an error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         return empty(spark)
+    return spark.read.parquet(path).select(F.col("status").cast("string").alias("status"), "filepath", "value")
