@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import sys
 from dataclasses import dataclass, field
 
@@ -14,7 +15,8 @@ FORMATS = ("text", "json", "path", "summary")
 HELP = """pagerefine <command> [options]
 
   fetch <url>        fetch a page, clean it and keep it (-q, -o text|json|path|summary, --pretty, --refetch, -v,
-                     --min-quality N, --temp-dir D, --docs-dir D, --wait-strategy S, --force-rendered)
+                     --min-quality N, --temp-dir D, --docs-dir D, --wait-strategy S, --force-rendered; pages are
+                     rendered by what Service is given for it, and none is without that)
   list               list what is kept
   promote <ref>      move a reference to the documents
   delete <ref>       delete a reference
@@ -53,14 +55,24 @@ def parse_args(argv: list[str]) -> Options:
     return out
 
 
+def as_json(found: dict) -> str:
+    """A result without its ready-made texts; of links that couldn't be listed only the error."""
+    left_out = {"text", "pretty", "tool"} | ({"count", "links"} if not found["success"] else set()) | ({"sourceRef"} if "message" in found else set())
+    return json.dumps({k: v for k, v in found.items() if k not in left_out}, indent=2, ensure_ascii=False)
+
+
+def failed_text(found: dict) -> str:
+    lines = [found.get("text") or f"Error: {found['error']}"]
+    lines += [f"Suggestion: {found['suggestion']}"] if found.get("suggestion") else []
+    lines += [f"Quality: {found['quality']['score']}/100"] if found.get("quality") else []
+    return "\n".join(lines)
+
+
 def _show(found: dict, output: str, pretty: bool, text) -> int:
     if output == "json":
-        print(json.dumps({k: v for k, v in found.items() if k not in ("text", "pretty")}, indent=2, ensure_ascii=False))
+        print(as_json(found))
     elif not found["success"]:
-        print(f"Error: {found['error']}", file=sys.stderr)
-        for label, key in (("Suggestion", "suggestion"), ("Quality", "score")):
-            if found.get(key) is not None:
-                print(f"{label}: {found[key]}", file=sys.stderr)
+        print(failed_text(found), file=sys.stderr)
     else:
         print(text(found, pretty))
     return 0 if found["success"] else 1
@@ -78,33 +90,47 @@ def _fetched(output: str):
 
 
 def links_text(r: dict, pretty: bool = False) -> str:
+    mark = "🔗 " if pretty else ""
     if not r["count"]:
-        return f"No links found in {r['sourceRef']}"
+        return f"{mark}No links found in {r['sourceRef']}"
     line = (lambda x: f"  {x['text']}\n    → {x['href']}") if pretty else (lambda x: f"{x['text']} | {x['href']}")
     hints = [f"\n💡 To fetch all: pagerefine fetch-links {r['sourceRef']}"] if pretty else []
-    return "\n".join([f"Found {r['count']} links in {r['sourceRef']}:\n", *map(line, r["links"]), *hints])
+    return "\n".join([f"{mark}Found {r['count']} links in {r['sourceRef']}:\n", *map(line, r["links"]), *hints])
+
+
+def promoted_text(ref_id: str, r: dict, pretty: bool = False) -> str:
+    if pretty:
+        return f"✅ Promoted {ref_id}\n   From: {r['fromPath']}\n   To:   {r['toPath']}"
+    return f"Promoted: {ref_id}\nFrom: {r['fromPath']}\nTo: {r['toPath']}"
+
+
+def deleted_text(ref_id: str, r: dict, pretty: bool = False) -> str:
+    return f"✅ Deleted {ref_id}\n   File: {r['filepath']}" if pretty else f"Deleted: {ref_id}\nFile: {r['filepath']}"
 
 
-def crawl_text(r: dict, pretty: bool = False) -> str:
-    lines = []
+def crawl_text(r: dict, pretty: bool = False, frame: bool = True) -> str:
+    mark = "🔗 " if pretty else ""
+    if not r["results"]:
+        return f"{mark}No links found in {r['sourceRef']}"
+    lines = [f"{mark}Fetching {len(r['results'])} links from {r['sourceRef']}...\n"] if frame else []
     for x in r["results"]:
         if pretty:
             lines.append({"new": f"✓ {x.get('refId')} (new)", "cached": f"○ {x.get('refId')} (already cached)"}.get(x["status"], f"✗ {x['url'][:50]}... ({x.get('error')})"))
         else:
             lines.append(f"{x['status']}: {x['refId']}" if x["status"] != "failed" else f"failed: {x['url']} - {x.get('error')}")
     s = r["summary"]
-    return "\n".join([*lines, "", f"Summary: {s['new']} new, {s['cached']} cached, {s['failed']} failed"])
+    return "\n".join([*lines, "", f"{'📊 ' if pretty else ''}Summary: {s['new']} new, {s['cached']} cached, {s['failed']} failed"])
 
 
 def list_text(refs: list[dict], folder: str, pretty: bool = False) -> str:
     if not refs:
         return f"No cached references in {folder}/"
     clip = lambda t, n: t[:n] + ("..." if len(t) > n else "")
-    out = [f"Cached references ({len(refs)}):\n"]
+    out = [f"{'📚 ' if pretty else ''}Cached references ({len(refs)}):\n"]
     for r in refs:
         kb = (r["size"] + 512) // 1024
-        middle = f"   📅 {r['fetched_date']} | 📄 {kb}KB\n   🔗 {clip(r['url'], 60)}" if pretty else f"  Date: {r['fetched_date']} | Size: {kb}KB\n  URL: {clip(r['url'], 60)}"
-        out.append(f"{r['ref_id']} | {clip(r['title'], 50)}\n{middle}\n")
+        middle = f"   📅 {r['fetchedDate']} | 📄 {kb}KB\n   🔗 {clip(r['url'], 60)}" if pretty else f"  Date: {r['fetchedDate']} | Size: {kb}KB\n  URL: {clip(r['url'], 60)}"
+        out.append(f"{r['refId']} | {clip(r['title'], 50)}\n{middle}\n")
     hints = ["💡 To promote: pagerefine promote <ref-id>", "💡 To delete: pagerefine delete <ref-id>"] if pretty else []
     return "\n".join([*out, *hints])
 
@@ -132,6 +158,10 @@ def run(argv: list[str], make_service=None) -> int:
         return 1
     service: Service = make(config)
     output, pretty = o.values.get("output", "text"), "pretty" in o.flags
+    if "verbose" in o.flags:
+        logging.basicConfig(stream=sys.stderr, format="%(message)s")
+        logging.getLogger("pagerefine").setLevel(logging.DEBUG)
+        logging.getLogger("pagerefine").debug("settings: %s", json.dumps(config.as_dict()))
     if o.command == "list":
         refs = service.list_cached()
         print(json.dumps(refs, indent=2, ensure_ascii=False) if output == "json" else list_text(refs, config.paths.temp_dir, pretty))
@@ -140,9 +170,9 @@ def run(argv: list[str], make_service=None) -> int:
         found = service.fetch_url(o.argument, o.values.get("query"), "refetch" in o.flags, "force" in o.flags)
         return _show(found, output, pretty, _fetched(output))
     if o.command == "promote":
-        return _show(service.promote_reference(o.argument), output, pretty, lambda r, _: f"Promoted: {o.argument}\nFrom: {r['fromPath']}\nTo: {r['toPath']}")
+        return _show(service.promote_reference(o.argument), output, pretty, lambda r, pretty: promoted_text(o.argument, r, pretty))
     if o.command == "delete":
-        return _show(service.delete_cached(o.argument), output, pretty, lambda r, _: f"Deleted: {o.argument}\nFile: {r['filepath']}")
+        return _show(service.delete_cached(o.argument), output, pretty, lambda r, pretty: deleted_text(o.argument, r, pretty))
     if o.command == "links":
         return _show(service.extract_links(o.argument), output, pretty, links_text)
     return _show(service.fetch_links(o.argument, "refetch" in o.flags), output, pretty, crawl_text)

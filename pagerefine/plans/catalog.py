@@ -21,22 +21,18 @@ NEWLINE = "chr(10)"
 
 #: A text with every feature that the rewrites look for.
 NOISY = (
-    "concat('# H', doc_id, chr(10), substr(text, 1, 200), chr(13), chr(10), '* item one', chr(10), '+ item two', chr(10), "
+    "concat('# H', doc_id, chr(10), text, chr(13), chr(10), '* item one', chr(10), '+ item two', chr(10), "
     "'see *this* now  and **bold** or ***x***', chr(10), chr(10), chr(10), chr(10), '[a](https://e.com/', doc_id, ') [b]() ![](img.png) "
     '<div class="x">z</div> <!-- c\', chr(10), \'c --> d\', chr(10), \'```js\', chr(10), \'code  here\', chr(10), \'```\', chr(10), '
     "'snake_case_word __dunder__ “q” ‘s’ en–dash em—dash zero\u200bwidth\ufeff', chr(9), ' ', chr(10), '~~~py', chr(10), 'x', chr(10), '~~~', chr(10), "
-    "substr(text, 201, 300), '   ', chr(10), '1. one', chr(10), '    nested  list   ****', chr(10), '## Two', chr(10), 'after', chr(10), '- last ')"
+    "text, '   ', chr(10), '1. one', chr(10), '    nested  list   ****', chr(10), '## Two', chr(10), 'after', chr(10), '- last ')"
 )
-#: The same with all of the text: both sides of the noise that is put in after 200 characters.
-WHOLE_NOISY = NOISY.replace("substr(text, 201, 300)", "substr(text, 201)")
 #: A text with links of all kinds, some twice.
 LINKED = (
     "concat('---', chr(10), 'title: \"T', doc_id, '\"', chr(10), '---', chr(10), chr(10), '[one](https://a.example/', doc_id % 7, ') and [two](http://b.example/', doc_id, ') ', "
-    "'[again](https://a.example/', doc_id % 7, ') ![pic](https://img.example/p.png) [mail](mailto:x@y.z) [rel](/x) [anchor](#a) [ftp](ftp://f) ', substr(text, 1, 100), "
+    "'[again](https://a.example/', doc_id % 7, ') ![pic](https://img.example/p.png) [mail](mailto:x@y.z) [rel](/x) [anchor](#a) [ftp](ftp://f) ', text, "
     "' [last](https://c.example/', doc_id % 3, ' \"t\")')"
 )
-#: The same with all of the text.
-WHOLE_LINKED = LINKED.replace("substr(text, 1, 100)", "text")
 #: Whole stored files; some without a header, some with an empty title, some with Windows line ends.
 FILES = (
     "concat(case when doc_id % 11 = 0 then '' else concat('---', case when doc_id % 13 = 0 then chr(13) else '' end, chr(10), 'title: ', "
@@ -94,42 +90,20 @@ def clean_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", clean.clean_markdown(F.col("x")).alias("y"))
 
 
-_BLANKS = f"CASE WHEN doc_id % 3 = 0 THEN concat(' ', chr(10), chr(9), chr(10), ' ') WHEN doc_id % 3 = 1 THEN '' ELSE {NOISY} END"
+#: Every text whole, and two blank ones beside it.
+_BESIDE_BLANKS = {"doc_id * 3": NOISY, "doc_id * 3 + 1": "''", "doc_id * 3 + 2": "concat(' ', chr(10), chr(9), chr(10), ' ')"}
+
+
+_BLANKED = f"({' UNION ALL '.join(f'SELECT {i} AS doc_id, {x} AS x FROM documents' for i, x in _BESIDE_BLANKS.items())})"
 
 
 @query(
     "clean_blank_guard",
-    f"""WITH s AS (SELECT doc_id, x AS o, regexp_matches(x, '[^{clean.WHITE}]') AS ok, x FROM {_noisy_sql(_BLANKS)}),
+    f"""WITH s AS (SELECT doc_id, x AS o, regexp_matches(x, '[^{clean.WHITE}]') AS ok, x FROM {_BLANKED}),
         a AS (SELECT doc_id, o, ok, {clean.stage_sql("structure", "x")} AS x FROM s), b AS (SELECT doc_id, o, ok, {clean.stage_sql("content", "x")} AS x FROM a)
         SELECT doc_id, CASE WHEN ok THEN {clean.stage_sql("finish", "x")} ELSE o END AS y FROM b""",
 )
 def clean_blank_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir, _BLANKS).select("doc_id", clean.clean_markdown(F.col("x")).alias("y"))
-
-
-# The clean_* queries and their SQL read the first 500 characters of a text; whole_clean_* do the same to all of it.
-for _stage, _steps in (("structure", clean.STRUCTURE), ("content", clean.CONTENT), ("finish", clean.FINISH)):
-    for _step in _steps:
-        per_document(f"whole_clean_{_stage}_{_step.name}", _step.column, _step.sql, WHOLE_NOISY)
-per_document("whole_clean_structure", clean.clean_structure, lambda x: clean.stage_sql("structure", x), WHOLE_NOISY)
-per_document("whole_clean_content", clean.clean_content, lambda x: clean.stage_sql("content", x), WHOLE_NOISY)
-per_document("whole_clean_finish", clean.clean_finish, lambda x: clean.stage_sql("finish", x), WHOLE_NOISY)
-
-
-@query("whole_clean_full", ORACLE_SQL["clean_full"].replace(NOISY, WHOLE_NOISY))
-def whole_clean_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir, WHOLE_NOISY).select("doc_id", clean.clean_markdown(F.col("x")).alias("y"))
-
-
-#: Every text whole, and two blank ones beside it.
-_BESIDE_BLANKS = {"doc_id * 3": WHOLE_NOISY, "doc_id * 3 + 1": "''", "doc_id * 3 + 2": "concat(' ', chr(10), chr(9), chr(10), ' ')"}
-
-
-@query(
-    "whole_clean_blank_guard",
-    ORACLE_SQL["clean_blank_guard"].replace(_noisy_sql(_BLANKS), f"({' UNION ALL '.join(f'SELECT {i} AS doc_id, {x} AS x FROM documents' for i, x in _BESIDE_BLANKS.items())})"),
-)
-def whole_clean_blank_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = F.explode(F.array(*(F.struct(F.expr(i).alias("doc_id"), F.expr(x).alias("x")) for i, x in _BESIDE_BLANKS.items())))
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(rows.alias("r")).select("r.doc_id", clean.clean_markdown(F.col("r.x")).alias("y"))
 
@@ -142,12 +116,15 @@ _MEASURED = f"""
            {_COUNT("x", quality.STYLE)} AS n_style, {_COUNT("x", quality.NEWLINES)} AS n_newlines, length(x) AS n_chars, length(x) - length({_STRIPPED}) AS html_chars,
            length(regexp_replace(regexp_replace({_STRIPPED}, '{quality.MARKS}', '', 'g'), '{clean.TRIM}', '', 'g')) AS content
     FROM SCORED"""
-#: Raw pages, articles, and texts with long blank stretches, script and table tags: all rules come up.
+_TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
+_ARTICLE = "regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"
+#: Beside every page whole, titles and pages with long blank stretches, script and table tags: all rules come up.
 _VARIANTS = (
-    "case page_id % 5 when 0 then html when 1 then substr(html, 1, 500) when 2 then concat(substr(html, 1, 300), repeat(concat(repeat(chr(10), 6), 'more '), 15)) "
-    "when 3 then concat(repeat('<tr><td>c</td></tr>', 30), substr(html, 1, 200)) else repeat('<div>x</div>', page_id % 12) end"
+    f"case page_id % 5 when 0 then {_TITLE} when 1 then concat(html, repeat(concat(repeat(chr(10), 6), 'more '), 15)) "
+    f"when 2 then concat(repeat('<tr><td>c</td></tr>', 30), {_TITLE}) when 3 then concat({_ARTICLE}, repeat('<b>', CAST(page_id % 70 AS INT))) "
+    "else repeat('<div>x</div>', CAST(page_id % 12 AS INT)) end"
 )
-_SCORED = f"(SELECT page_id AS id, {_VARIANTS} AS x FROM pages)"
+_SCORED = f"(SELECT page_id * 2 AS id, html AS x FROM pages UNION ALL SELECT page_id * 2 + 1 AS id, {_VARIANTS} AS x FROM pages)"
 _SHARE = "CASE WHEN n_chars > 0 THEN html_chars / n_chars ELSE 0 END"
 _TENTHS = "coalesce((html_chars * 2000 + n_chars) // nullif(2 * n_chars, 0), 0)"
 _SCORES = f"""
@@ -171,8 +148,11 @@ _SCORES = f"""
             CASE WHEN n_newlines > 10 THEN n_newlines || ' sections with excessive newlines' END], lambda v: v IS NOT NULL) AS warnings FROM q)"""
 
 
-def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("id"), F.expr(_VARIANTS).alias("x"))
+def _variants(spark: SparkSession, sf_dir: str, odd: str = _VARIANTS, even: str = "html") -> DataFrame:
+    """id, x: two texts of each page, at twice its id and next to it."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    both = F.explode(F.array(*(F.struct((F.col("page_id") * 2 + i).alias("id"), F.expr(e).alias("x")) for i, e in enumerate((even, odd)))))
+    return pages.select(both.alias("r")).select("r.*")
 
 
 def _measure_query(name: str, keys: tuple[str, ...]) -> None:
@@ -218,57 +198,6 @@ def q_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_variants(spark, sf_dir), "x").select("id", report.alias("report"))
 
 
-# The q_* queries and their SQL replace four pages of five by variants; whole_q_* measure every page whole, with the variants beside.
-_BESIDE_PAGES = "(SELECT page_id * 2 AS id, html AS x FROM pages UNION ALL SELECT page_id * 2 + 1 AS id, " + _VARIANTS + " AS x FROM pages)"
-
-
-def _whole_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    whole = pages.select((F.col("page_id") * 2).alias("id"), F.col("html").alias("x"))
-    return whole.union(pages.select((F.col("page_id") * 2 + 1).alias("id"), F.expr(_VARIANTS).alias("x")))
-
-
-def _whole_measure_query(name: str, keys: tuple[str, ...]) -> None:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = quality.measures(F.col("x"))
-        return _whole_pages(spark, sf_dir).select("id", *(found[k].cast("long").alias(k) for k in keys))
-
-    QUERIES[f"whole_{name}"] = run
-
-
-for _name, _keys in (
-    ("q_tag_count", ("n_tags",)), ("q_table_tags", ("n_table",)), ("q_script", ("n_script",)), ("q_style", ("n_style",)), ("q_newlines", ("n_newlines",)), ("q_content_len", ("content",)),
-):
-    _whole_measure_query(_name, _keys)
-
-
-@query("whole_q_html_ratio")
-def whole_q_html_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = quality.measures(F.col("x"))
-    return _whole_pages(spark, sf_dir).select("id", F.coalesce(quality.percent(m["html_chars"], m["n_chars"]), F.lit(0).cast("long")).alias("tenths"))
-
-
-@query("whole_q_score")
-def whole_q_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.score(_whole_pages(spark, sf_dir), "x").select("id", F.col("quality.score").cast("long").alias("score"), "quality.is_valid")
-
-
-@query("whole_q_messages")
-def whole_q_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = lambda c: F.array_join(f"quality.{c}", "|").alias(c)
-    return quality.score(_whole_pages(spark, sf_dir), "x").select("id", joined("issues"), joined("warnings"))
-
-
-@query("whole_q_report")
-def whole_q_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = quality.report(F.col("quality.score"), F.col("quality.issues"), F.col("quality.warnings"))
-    return quality.score(_whole_pages(spark, sf_dir), "x").select("id", report.alias("report"))
-
-
-for _name in [n for n in ORACLE_SQL if n.startswith("q_")]:
-    ORACLE_SQL[f"whole_{_name}"] = ORACLE_SQL[_name].replace(_SCORED, _BESIDE_PAGES)
-
-
 # --- pages ----------------------------------------------------------------------------------------------------------
 @query("pages_scan", "SELECT page_id, url, length(html) AS n_chars, CAST(200 AS BIGINT) AS http_status FROM pages")
 def pages_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,9 +217,6 @@ def http_error_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.with_http_errors(raw).select("page_id", "error", F.length("html").cast("long").alias("n_chars"))
 
 
-_TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
-
-
 def _page_title() -> Column:
     return F.regexp_extract("html", "<title>([^<]*)</title>", 1)
 
@@ -300,7 +226,7 @@ def title_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.pages(spark, sf_dir).select("page_id", _page_title().alias("title"))
 
 
-@query("article_slice", "SELECT page_id, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS article FROM pages")
+@query("article_slice", f"SELECT page_id, {_ARTICLE} AS article FROM pages")
 def article_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.pages(spark, sf_dir).select("page_id", F.regexp_extract("html", "(?s)<article>(.*?)</article>", 1).alias("article"))
 
@@ -325,12 +251,19 @@ def md_header(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- routes ---------------------------------------------------------------------------------------------------------
-#: Scores of all kinds, errors, and rendered pages that are missing, broken, worse, equal or better.
-_CASES = (
-    "SELECT page_id, CASE WHEN page_id % 13 = 0 THEN 'HTTP 500: x' END AS fetch_error, CASE WHEN page_id % 17 = 0 THEN 'no article' END AS extract_error, "
-    "CAST((page_id * 7) % 101 AS INT) AS score, CASE WHEN page_id % 5 = 0 THEN 'gone' END AS r_fetch_error, CASE WHEN page_id % 11 = 0 THEN 'no article' END AS r_extract_error, "
-    "CAST(CASE WHEN page_id % 7 = 0 THEN (page_id * 7) % 101 ELSE (page_id * 31) % 101 END AS INT) AS r_score FROM pages"
-)
+#: Texts of each page as fetched and as rendered, of which the scores are low, marginal and high, and at times equal.
+_MARKED = f"concat({_ARTICLE}, '<script></script><style></style>')"
+_PLAIN = f"case page_id % 4 when 0 then html when 1 then {_ARTICLE} when 2 then {_MARKED} else {_TITLE} end"
+_SHOWN = f"case page_id % 5 when 0 then html when 1 then concat({_ARTICLE}, {_ARTICLE}) when 2 then {_MARKED} when 3 then {_TITLE} else {_ARTICLE} end"
+#: Errors of both: pages that weren't fetched or had no article.
+_ERRORS = {
+    "fetch_error": "CASE WHEN page_id % 13 = 0 THEN 'HTTP 500: x' END", "extract_error": "CASE WHEN page_id % 17 = 0 THEN 'no article' END",
+    "r_fetch_error": "CASE WHEN page_id % 7 = 0 THEN 'gone' END", "r_extract_error": "CASE WHEN page_id % 11 = 0 THEN 'no article' END",
+}
+_CASES = f"""
+    WITH {_SCORES.replace(_SCORED, f"(SELECT page_id * 2 AS id, {_PLAIN} AS x FROM pages UNION ALL SELECT page_id * 2 + 1 AS id, {_SHOWN} AS x FROM pages)")}
+    SELECT page_id, {", ".join(f"{e} AS {n}" for n, e in _ERRORS.items())}, a.score, b.score AS r_score
+    FROM pages JOIN t a ON a.id = page_id * 2 JOIN t b ON b.id = page_id * 2 + 1"""
 
 
 def _reason_sql(forced: str) -> str:
@@ -346,8 +279,9 @@ _ROUTED = f"""
 
 
 def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.read.parquet(f"{sf_dir}/pages.parquet").createOrReplaceTempView("__route_pages")
-    rows = spark.sql(_CASES.replace("FROM pages", "FROM __route_pages"))
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.expr(_PLAIN).alias("plain"), F.expr(_SHOWN).alias("shown"))
+    rows = quality.score(quality.score(rows, "plain", "q"), "shown", "r")
+    rows = rows.select("page_id", *(F.expr(e).alias(n) for n, e in _ERRORS.items()), F.col("q.score").alias("score"), F.col("r.score").alias("r_score"))
     why = route.reason(F.col("fetch_error"), F.col("extract_error"), F.col("score"), 60, 85)
     outcome = route.rendered_outcome(F.col("r_fetch_error"), F.col("r_extract_error"), F.col("r_score"), 60)
     rows = rows.withColumn("why", why).withColumns({f"r_{k}": v for k, v in outcome.items()})
@@ -399,21 +333,16 @@ def slugify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.pages(spark, sf_dir).select("page_id", slug(_page_title()).alias("slug"))
 
 
-_BATCH = f"SELECT page_id AS seq, substr({_TITLE}, 1, 3 + CAST(page_id % 9 AS INT)) AS title, concat('https://e.com/', page_id % 97) AS url, concat('body ', page_id) AS content, CASE WHEN page_id % 4 = 0 THEN concat('q \"', page_id, '\"') END AS query, page_id % 6 = 0 AS refetch FROM pages"
+#: Pages to be saved, under addresses that several of them share; titles repeat too.
+_BATCH_COLUMNS = (
+    "page_id AS seq", f"{_TITLE} AS title", "concat('https://e.com/', page_id % 97) AS url", "html AS content",
+    "CASE WHEN page_id % 4 = 0 THEN concat('q \"', page_id, '\"') END AS query", "page_id % 6 = 0 AS refetch",
+)
+_BATCH = f"SELECT {', '.join(_BATCH_COLUMNS)} FROM pages"
 
 
 def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.read.parquet(f"{sf_dir}/pages.parquet").createOrReplaceTempView("__batch_pages")
-    return spark.sql(_BATCH.replace("FROM pages", "FROM __batch_pages"))
-
-
-@query(
-    "slug_last_write",
-    f"SELECT slug, max(page_id) AS page_id, count(*) AS n FROM (SELECT page_id, {_SLUG(f'substr({_TITLE}, 1, 6)')} AS slug FROM pages) GROUP BY slug",
-)
-def slug_last_write(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tables.pages(spark, sf_dir).select("page_id", slug(F.substring(_page_title(), 1, 6)).alias("slug"))
-    return rows.groupBy("slug").agg(F.max("page_id").alias("page_id"), F.count(F.lit(1)).alias("n"))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").selectExpr(*_BATCH_COLUMNS)
 
 
 _QUOTE = lambda x: f"""'"' || replace({x}, '"', '\\"') || '"'"""
@@ -471,13 +400,9 @@ def fm_missing_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- store ----------------------------------------------------------------------------------------------------------
-@query("cache_list_sorted", f"SELECT row_number() OVER (ORDER BY fetched_date DESC, ref_id) AS place, {', '.join(_REF)}, '.tmp/' || ref_id || '.md' AS filepath FROM ({_DECODED})")
+@query("cache_list_sorted", f"SELECT {', '.join(_REF)}, '.tmp/' || ref_id || '.md' AS filepath FROM ({_DECODED}) ORDER BY fetched_date DESC, ref_id")
 def cache_list_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The place is a global rank, which the sorted list itself doesn't need.
-    from pyspark.sql import Window
-
-    found = store.list_references(_state(spark, sf_dir))
-    return found.withColumn("place", F.row_number().over(Window.orderBy(F.desc("fetched_date"), "ref_id")).cast("long"))
+    return store.list_references(_state(spark, sf_dir))
 
 
 _URLS = "SELECT DISTINCT 'https://e.com/' || (doc_id * 3) AS url FROM documents"
@@ -489,11 +414,13 @@ def find_by_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.find_by_url(_state(spark, sf_dir), urls)
 
 
-_IDS = "SELECT 'doc-' || (doc_id * 2) AS ref_id FROM documents WHERE doc_id % 4 = 0"
+#: Every document's reference, and as many that aren't there.
+_IDS = "SELECT unnest(['doc-' || doc_id, 'none-' || doc_id]) AS ref_id FROM documents"
 
 
 def _ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).where("doc_id % 4 = 0").select(F.concat(F.lit("doc-"), F.col("doc_id") * 2).alias("ref_id"))
+    own = (F.concat(F.lit(kind), F.col("doc_id")) for kind in ("doc-", "none-"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.array(*own)).alias("ref_id"))
 
 
 @query("find_by_ref", f"SELECT i.ref_id, url, CASE WHEN d.ref_id IS NOT NULL THEN '.tmp/' || d.ref_id || '.md' END AS filepath FROM ({_IDS}) i LEFT JOIN ({_DECODED}) d ON i.ref_id = d.ref_id")
@@ -537,6 +464,19 @@ def save_refetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _save(spark, sf_dir, True)[1]
 
 
+_NONE = _SAVED.replace(f"({_DECODED})", f"(SELECT * FROM ({_DECODED}) WHERE false)").replace(f"FROM ({_BATCH})", f"FROM (SELECT * REPLACE (true AS refetch, concat(url, '/', seq) AS url) FROM ({_BATCH}))")
+
+
+@query(
+    "slug_last_write",
+    f"{_NONE}, w AS (SELECT *, row_number() OVER (PARTITION BY filepath ORDER BY seq DESC) AS rn FROM saved) SELECT 'temporary' AS status, filepath, {_ENCODED()} AS value FROM w WHERE rn = 1",
+)
+def slug_last_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of all addresses saved to an empty store: of those whose titles have one slug, the last stays."""
+    batch = _batch(spark, sf_dir).withColumns({"refetch": F.lit(True), "url": F.concat("url", F.lit("/"), "seq")})
+    return store.save(store.empty(spark), batch, F.lit(DAY))[1]
+
+
 @query(
     "promote",
     f"""SELECT i.ref_id, d.ref_id IS NOT NULL AS success, coalesce('.tmp/' || d.ref_id || '.md', '') AS from_path, coalesce('docs/ai/references/' || d.ref_id || '.md', '') AS to_path,
@@ -615,8 +555,12 @@ def links_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.reference_links(state, asked)[0]
 
 
-_HOPS = f"SELECT page_id AS pos, concat('https://e.com/', (page_id * 5) % 311) AS href FROM pages"
-_FETCHED = f"SELECT concat('https://e.com/', page_id) AS url, page_id % 8 <> 0 AS success, {_TITLE} AS title, concat('body ', page_id) AS markdown, CASE WHEN page_id % 8 = 0 THEN 'HTTP 404: Not Found' END AS error FROM pages"
+_HOP_COLUMNS = ("page_id AS pos", "concat('https://e.com/', (page_id * 5) % 311) AS href")
+_FETCHED_COLUMNS = (
+    "concat('https://e.com/', page_id) AS url", "page_id % 8 <> 0 AS success", f"{_TITLE} AS title", f"{_ARTICLE} AS markdown",
+    "CASE WHEN page_id % 8 = 0 THEN 'HTTP 404: Not Found' END AS error",
+)
+_HOPS, _FETCHED = (f"SELECT {', '.join(c)} FROM pages" for c in (_HOP_COLUMNS, _FETCHED_COLUMNS))
 _CRAWLED = f"""
     WITH d AS ({_DECODED}), k AS (SELECT url, min(ref_id) AS ref FROM d GROUP BY url),
     f AS ({_FETCHED}), rows AS (SELECT l.pos, l.href, coalesce(f.success, false) AS ok, f.title, f.error, {_SLUG("f.title")} AS slug FROM ({_HOPS}) l LEFT JOIN f ON f.url = l.href),
@@ -626,9 +570,8 @@ _CRAWLED = f"""
 
 
 def _crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.read.parquet(f"{sf_dir}/pages.parquet").createOrReplaceTempView("__crawl_pages")
-    own = lambda sql: spark.sql(sql.replace("FROM pages", "FROM __crawl_pages"))
-    return crawl.fetch_links(_state(spark, sf_dir), own(_HOPS), own(_FETCHED), F.lit(DAY))[0]
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return crawl.fetch_links(_state(spark, sf_dir), pages.selectExpr(*_HOP_COLUMNS), pages.selectExpr(*_FETCHED_COLUMNS), F.lit(DAY))[0]
 
 
 @query("crawl_status", f"{_CRAWLED} SELECT * FROM out")
@@ -674,7 +617,7 @@ def size_kb_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "size_reduction",
-    "SELECT page_id, CAST(floor(length(html) / 4 + 0.5) AS BIGINT) AS html_tokens, CAST(floor(length(regexp_extract(html, '(?s)<article>(.*?)</article>', 1)) / 4 + 0.5) AS BIGINT) AS article_tokens FROM pages",
+    f"SELECT page_id, CAST(floor(length(html) / 4 + 0.5) AS BIGINT) AS html_tokens, CAST(floor(length({_ARTICLE}) / 4 + 0.5) AS BIGINT) AS article_tokens FROM pages",
 )
 def size_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
     article = F.regexp_extract("html", "(?s)<article>(.*?)</article>", 1)
@@ -693,10 +636,89 @@ def render_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("source_ref", F.col("pos").cast("long").alias("pos"), render.link(F.col("text"), F.col("href")).alias("line"))
 
 
-@query("render_summary", f"{_SAVED} SELECT seq, ref_id || '|' || filepath AS summary, 'Already cached: ' || ref_id || chr(10) || 'Filepath: ' || filepath || chr(10) || 'Use --refetch to update' AS already FROM saved")
+@query("render_summary", f"{_SAVED} SELECT seq, ref_id || '|' || filepath AS summary, '📦 Already cached: ' || ref_id || chr(10) || '   File: ' || filepath || chr(10) || chr(10) || '💡 Use --refetch to update' AS pretty, 'Already cached: ' || ref_id || chr(10) || 'Filepath: ' || filepath || chr(10) || 'Use --refetch to update' AS already FROM saved")
 def render_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, ref, path = _save(spark, sf_dir)[0], F.col("ref_id"), F.col("filepath")
-    return found.select("seq", render.saved_summary(ref, path).alias("summary"), render.already_text(ref, path).alias("already"))
+    return found.select("seq", render.saved_summary(ref, path).alias("summary"), render.already_text(ref, path).alias("already"), render.already_text(ref, path, pretty=True).alias("pretty"))
+
+
+def _saved_sql(head: str, title: str, author: str, source: str, summary: str, filepath: str, size: str, quality_: str, rendered: str, tail: str = "''") -> str:
+    return f"""SELECT page_id, '{head}' || page_id || {title} || {_TITLE} || coalesce({author} || nullif(byline, ''), '') || coalesce({source} || nullif(site, ''), '')
+        || coalesce({summary} || nullif(summary, ''), '') || {filepath} || page_id || {size} || length(html) || ' chars (~' || CAST(floor(length(html) / 4 + 0.5) AS BIGINT)
+        || ' tokens)' || {quality_} || (CASE WHEN page_id % 2 = 0 THEN {rendered} ELSE '' END) || {tail} AS text FROM (SELECT *, {", ".join(f"{e} AS {n}" for n, e in _META.items())} FROM pages)"""
+
+
+def _saved_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, Column]]:
+    rows = tables.pages(spark, sf_dir).withColumns({n: F.expr(e) for n, e in _META.items()})
+    used = F.when(F.col("page_id") % 2 == 0, F.lit(True))
+    return rows, {
+        "ref_id": F.concat(F.lit("s"), "page_id"), "title": _page_title(), "byline": F.col("byline"), "site_name": F.col("site"), "excerpt": F.col("summary"),
+        "filepath": F.concat(F.lit("f"), "page_id"), "markdown": F.col("html"), "score": F.lit(85), "used_rendered": used, "rendered_reason": F.when(used, "forced"),
+    }
+
+
+_NL = "chr(10)"
+
+
+@query(
+    "render_pretty",
+    _saved_sql(
+        "✅ Cached: s", f"{_NL} || {_NL} || '**Title**: '", f"{_NL} || '**Author**: '", f"{_NL} || '**Source**: '", f"{_NL} || '**Summary**: '", f"{_NL} || {_NL} || '**Saved to**: f'",
+        f"{_NL} || '**Size**: '", f"{_NL} || '**Quality**: 85/100'", f"{_NL} || '**Playwright**: Yes (forced)'", f"{_NL} || {_NL} || '💡 To promote to docs: pagerefine promote s' || page_id",
+    ),
+)
+def render_pretty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, r = _saved_rows(spark, sf_dir)
+    return rows.select("page_id", render.saved_text(r, pretty=True).alias("text"))
+
+
+@query(
+    "render_mcp",
+    _saved_sql(
+        "Cached: s", f"{_NL} || {_NL} || 'Title: '", f"{_NL} || 'Author: '", f"{_NL} || 'Source: '", f"{_NL} || 'Summary: '", f"{_NL} || {_NL} || 'Filepath: f'",
+        f"{_NL} || 'Size: '", f"{_NL} || 'Quality: 85/100'", f"{_NL} || 'Playwright: Yes (forced)'",
+    ),
+)
+def render_mcp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, r = _saved_rows(spark, sf_dir)
+    return rows.select("page_id", render.tool_text(r).alias("text"))
+
+
+@query(
+    "render_fetch_json",
+    f"""SELECT page_id, '{{"success":true,"refId":"s' || page_id || '","title":' || CAST(to_json({_TITLE}) AS VARCHAR) || coalesce(',"byline":' || CAST(to_json(byline) AS VARCHAR), '')
+        || coalesce(',"siteName":' || CAST(to_json(site) AS VARCHAR), '') || coalesce(',"excerpt":' || CAST(to_json(summary) AS VARCHAR), '') || ',"url":' || CAST(to_json(url) AS VARCHAR)
+        || ',"filepath":"f' || page_id || '","size":' || length(html) || ',"tokens":' || CAST(floor(length(html) / 4 + 0.5) AS BIGINT) || ',"quality":85'
+        || (CASE WHEN page_id % 2 = 0 THEN ',"usedPlaywright":true,"playwrightReason":"forced"' ELSE ',"query":"q"' END) || '}}' AS json
+        FROM (SELECT *, {", ".join(f"{e} AS {n}" for n, e in _META.items())} FROM pages)""",
+)
+def render_fetch_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, r = _saved_rows(spark, sf_dir)
+    asked = F.when(F.col("page_id") % 2 == 1, "q")
+    return rows.select("page_id", render.saved_json(r, F.col("url"), asked).alias("json"))
+
+
+@query(
+    "render_list_page",
+    f"SELECT 'Cached references (' || count(*) || '):' AS plain, '📚 Cached references (' || count(*) || '):' AS pretty, 'No cached references in .tmp/' AS none FROM ({_DECODED})",
+)
+def render_list_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = store.list_references(_state(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n"))
+    shown = [render.list_header(F.col("n"), ".tmp").alias("plain"), render.list_header(F.col("n"), ".tmp", pretty=True).alias("pretty")]
+    return n.select(*shown, render.list_header(F.lit(0), ".tmp").alias("none"))
+
+
+@query(
+    "render_links_page",
+    f"""SELECT doc_id AS source_ref, 'Found ' || n || ' links in ' || doc_id || ':' AS plain, '🔗 Found ' || n || ' links in ' || doc_id || ':' AS pretty, 'Fetching ' || n || ' links from ' || doc_id || '...' AS fetching
+        FROM (SELECT doc_id, count(*) AS n FROM ({_UNIQUE}) GROUP BY doc_id)""",
+)
+def render_links_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _bodies(spark, sf_dir).select(F.col("doc_id").alias("source_ref"), F.size(links.web_links(F.col("b"))).alias("n"))
+    n, ref = F.col("n"), F.col("source_ref").cast("string")
+    return found.select(
+        "source_ref", render.links_header(n, ref).alias("plain"), render.links_header(n, ref, pretty=True).alias("pretty"), render.links_header(n, ref, fetching=True).alias("fetching")
+    )
 
 
 @query(
@@ -707,21 +729,19 @@ def render_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM (SELECT *, {", ".join(f"{e} AS {n}" for n, e in _META.items())} FROM pages)""",
 )
 def render_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tables.pages(spark, sf_dir).withColumns({n: F.expr(e) for n, e in _META.items()})
-    r = {
-        "ref_id": F.concat(F.lit("s"), "page_id"), "title": _page_title(), "byline": F.col("byline"), "site_name": F.col("site"), "excerpt": F.col("summary"),
-        "filepath": F.concat(F.lit("f"), "page_id"), "markdown": F.col("html"), "score": F.lit(85), "used_rendered": F.col("page_id") % 2 == 0, "rendered_reason": F.lit("forced"),
-    }
+    rows, r = _saved_rows(spark, sf_dir)
     return rows.select("page_id", render.saved_text(r).alias("text"))
 
 
 @query(
     "render_json",
-    f"""{_SAVED} SELECT seq, CASE WHEN already_exists THEN '{{"success":true,"alreadyExists":true,"refId":"' ELSE '{{"success":true,"refId":"' END || ref_id || '","filepath":"' || filepath || '"}}' AS json FROM saved""",
+    f"""{_SAVED} SELECT seq, CASE WHEN already_exists THEN '{{"success":true,"alreadyExists":true,"refId":"' ELSE '{{"success":true,"refId":"' END || ref_id || '","filepath":"' || filepath
+        || (CASE WHEN already_exists THEN '","message":"{render.ALREADY_MESSAGE}"}}' ELSE '"}}' END) AS json FROM saved""",
 )
 def render_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _save(spark, sf_dir)[0]
     fields = {"success": F.lit(True), "alreadyExists": F.when(F.col("already_exists"), F.lit(True)), "refId": F.col("ref_id"), "filepath": F.col("filepath")}
+    fields["message"] = F.when(F.col("already_exists"), render.ALREADY_MESSAGE)
     return found.select("seq", render.as_json(**fields).alias("json"))
 
 
@@ -732,12 +752,16 @@ _PROMOTED = f"(SELECT i.ref_id, d.ref_id AS f FROM (SELECT DISTINCT ref_id FROM
     "render_promote_delete",
     f"""SELECT ref_id, CASE WHEN f IS NOT NULL THEN 'Promoted: ' || ref_id || chr(10) || 'From: .tmp/' || f || '.md' || chr(10) || 'To: docs/ai/references/' || f || '.md'
         ELSE 'Error: Reference ' || ref_id || ' not found in .tmp' END AS promoted,
+        CASE WHEN f IS NOT NULL THEN '✅ Promoted ' || ref_id || chr(10) || '   From: .tmp/' || f || '.md' || chr(10) || '   To:   docs/ai/references/' || f || '.md'
+        ELSE 'Error: Reference ' || ref_id || ' not found in .tmp' END AS pretty_promoted,
+        CASE WHEN f IS NOT NULL THEN '✅ Deleted ' || ref_id || chr(10) || '   File: .tmp/' || f || '.md' ELSE 'Error: Reference ' || ref_id || ' not found in .tmp' END AS pretty_deleted,
         CASE WHEN f IS NOT NULL THEN 'Deleted: ' || ref_id || chr(10) || 'File: .tmp/' || f || '.md' ELSE 'Error: Reference ' || ref_id || ' not found in .tmp' END AS deleted FROM {_PROMOTED}""",
 )
 def render_promote_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, d = (f(_state(spark, sf_dir), _ids(spark, sf_dir))[0] for f in (store.promote, store.delete))
-    p = p.select("ref_id", render.promoted(*(F.col(c) for c in ("ref_id", "success", "from_path", "to_path", "error"))).alias("promoted"))
-    d = d.select("ref_id", render.deleted(*(F.col(c) for c in ("ref_id", "success", "filepath", "error"))).alias("deleted"))
+    own = lambda f, *names: [f(*(F.col(c) for c in names), pretty=x).alias(("pretty_" if x else "") + f.__name__) for x in (False, True)]
+    p = p.select("ref_id", *own(render.promoted, "ref_id", "success", "from_path", "to_path", "error"))
+    d = d.select("ref_id", *own(render.deleted, "ref_id", "success", "filepath", "error"))
     return p.join(d, "ref_id")
 
 
@@ -749,43 +773,9 @@ def extract_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("pipeline_e2e")
 def pipeline_e2e(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages through extraction, clean-up, scoring and routing, with a stand-in for rendered ones for every third."""
+    """Pages through extraction, clean-up, scoring and routing, with a stand-in for each rendered one."""
     pages = tables.pages(spark, sf_dir)
-    rendered = pages.where("page_id % 3 = 0").withColumn("html", tables.render_stub(F.col("html"), F.col("page_id")))
+    rendered = pages.withColumn("html", tables.render_stub(F.col("html"), F.col("page_id")))
     found = route.fetch(pages, rendered)
     joined = lambda c: F.array_join(c, "|").alias(c)
     return found.select("url", "success", "markdown", "title", "score", joined("issues"), joined("warnings"), "error", "used_rendered", "rendered_reason")
-
-
-# --- links of whole texts -------------------------------------------------------------------------------------------
-# The link queries and their SQL read the first 100 characters of a text; these read all of it.
-_WHOLE_SQL = {n: ORACLE_SQL[n].replace(LINKED, WHOLE_LINKED) for n in ("links_all", "links_http", "links_dedup", "links_count", "render_links")}
-
-
-@query("whole_links_all", _WHOLE_SQL["links_all"])
-def whole_links_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _exploded(spark, sf_dir, expression=WHOLE_LINKED)
-
-
-@query("whole_links_http", _WHOLE_SQL["links_http"])
-def whole_links_http(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _exploded(spark, sf_dir, links.is_web, WHOLE_LINKED)
-
-
-@query("whole_links_dedup", _WHOLE_SQL["links_dedup"])
-def whole_links_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.exploded(_bodies(spark, sf_dir, WHOLE_LINKED), "doc_id", "b").withColumn("pos", F.col("pos").cast("long"))
-
-
-@query("whole_links_count", _WHOLE_SQL["links_count"])
-def whole_links_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = documents(spark, sf_dir, WHOLE_LINKED)
-    state = rows.select(F.lit("temporary").alias("status"), F.concat(F.lit(".tmp/doc-"), "doc_id", F.lit(".md")).alias("filepath"), F.col("x").alias("value"))
-    asked = rows.select(F.concat(F.lit("doc-"), "doc_id").alias("ref_id")).union(spark.createDataFrame([("none",)], "ref_id string"))
-    return store.reference_links(state, asked)[0]
-
-
-@query("whole_render_links", _WHOLE_SQL["render_links"])
-def whole_render_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = links.exploded(_bodies(spark, sf_dir, WHOLE_LINKED), "doc_id", "b")
-    return found.select("source_ref", F.col("pos").cast("long").alias("pos"), render.link(F.col("text"), F.col("href")).alias("line"))

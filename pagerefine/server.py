@@ -7,7 +7,7 @@ import sys
 from collections.abc import Callable
 
 from pagerefine import __version__
-from pagerefine.cli import crawl_text, links_text, list_text
+from pagerefine.cli import as_json, crawl_text, deleted_text, failed_text, links_text, list_text, promoted_text
 from pagerefine.config import Config, load
 
 _TEXT, _FLAG = {"type": "string"}, {"type": "boolean"}
@@ -36,8 +36,7 @@ def call(name: str, args: dict, make: Callable[[Config], object]) -> str:
         raise ValueError(f"Unknown tool: {name}")
     config = load(min_quality=args.get("minQuality"), temp_dir=args.get("tempDir"), docs_dir=args.get("docsDir"))
     service = make(config)
-    as_json = args.get("outputFormat") == "json"
-    dump = lambda r: json.dumps({k: v for k, v in r.items() if k not in ("text", "pretty")}, indent=2, ensure_ascii=False)
+    wants_json = args.get("outputFormat") == "json"
     if name == "list_cached":
         return list_text(service.list_cached(), config.paths.temp_dir).strip()
     if name == "fetch_url":
@@ -51,17 +50,18 @@ def call(name: str, args: dict, make: Callable[[Config], object]) -> str:
     else:
         r = service.fetch_links(args["refId"], bool(args.get("refetch")))
     if not r["success"]:
-        suggestion = f"\nSuggestion: {r['suggestion']}" if r.get("suggestion") else ""
-        return f"Error: {r['error']}{suggestion}"
-    if as_json:
-        return dump(r)
+        return failed_text(r)
+    if wants_json:
+        return as_json(r | {"message": r["message"].replace("--refetch", "refetch: true")} if r.get("alreadyExists") else r)
     if name == "fetch_url":
-        return r["filepath"] if args.get("outputFormat") == "path" else r["text"]
+        return r["filepath"] if args.get("outputFormat") == "path" else r["tool"]
     if name == "promote_reference":
-        return f"Promoted: {args['refId']}\nFrom: {r['fromPath']}\nTo: {r['toPath']}"
+        return promoted_text(args["refId"], r)
     if name == "delete_cached":
-        return f"Deleted: {args['refId']}\nFile: {r['filepath']}"
-    return links_text(r) if name == "extract_links" else f"Fetched links from {args['refId']}:\n\n{crawl_text(r)}"
+        return deleted_text(args["refId"], r)
+    if name == "extract_links":
+        return links_text(r)
+    return f"Fetched links from {args['refId']}:\n\n{crawl_text(r, frame=False)}" if r["results"] else links_text(r | {"count": 0})
 
 
 def answer(message: dict, make: Callable[[Config], object]) -> dict | None:

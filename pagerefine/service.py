@@ -7,6 +7,7 @@ written by the driver, as a personal store has few.
 from __future__ import annotations
 
 import json
+import logging
 import os
 from collections.abc import Callable
 from pathlib import Path
@@ -19,11 +20,15 @@ from pagerefine.functions.text import utc_day
 from pagerefine.operators import crawl, render, route, store
 from pagerefine.sources.tables import RAW_PAGES, stored_files
 
+log = logging.getLogger("pagerefine")
 RENDERED = "url string, html string, error string"
 
 
 class Service:
-    """get: urls to a DataFrame of url, html, http_status, status_text, error; render: urls to one of url, html, error."""
+    """get: urls to a DataFrame of url, html, http_status, status_text, error; render: urls to one of url, html, error.
+
+    Without a renderer no page counts as rendered, so a page that isn't accepted as fetched plainly fails.
+    """
 
     def __init__(self, spark: SparkSession, config: Config, get: Callable[[list[str]], DataFrame], render: Callable[[list[str]], DataFrame] | None = None):
         self.spark, self.config, self.get = spark, config, get
@@ -43,6 +48,7 @@ class Service:
 
     def _fetched(self, urls: list[str], force: bool = False) -> DataFrame:
         q = self.config.quality
+        log.debug("fetching %d pages, accepted from %d on, rendered below %d%s", len(urls), q.min_score, q.js_retry_threshold, ", all rendered" if force else "")
         return route.fetch(self.get(urls), self.render(urls), q.min_score, q.js_retry_threshold, force)
 
     # --- operations ---
@@ -50,16 +56,21 @@ class Service:
         """Fetch, score and save one page. The text form of the result is under `text`."""
         found = self._fetched([url], force).withColumn("size", F.length("markdown")).first().asDict(recursive=True)
         if not found["success"]:
-            return {k: found[k] for k in ("success", "error", "suggestion", "score") if found[k] is not None}
+            quality = None if found["score"] is None else {"isValid": False, "score": found["score"], "issues": found["issues"], "warnings": found["warnings"]}
+            log.debug("not kept: %s", found["error"])
+            return {k: v for k, v in {**{c: found[c] for c in ("success", "error", "suggestion")}, "quality": quality}.items() if v is not None}
         row = [(0, found["title"], url, found["markdown"], query, refetch)]
         batch = self.spark.createDataFrame(row, "seq long, title string, url string, content string, query string, refetch boolean")
         results, after = store.save(self.state(), batch, utc_day(), self.config.paths.temp_dir)
         saved = results.first()
         if saved.error:
-            return {"success": False, "error": saved.error}
+            return {"success": False, "error": saved.error, "text": f"Error: Save failed: {saved.error}"}
         out = {"success": True, "refId": saved.ref_id, "filepath": saved.filepath}
         if saved.already_exists:
-            return out | {"alreadyExists": True, "text": f"Already cached: {saved.ref_id}\nFilepath: {saved.filepath}\nUse --refetch to update"}
+            ref, path = F.lit(saved.ref_id), F.lit(saved.filepath)
+            texts = self.spark.range(1).select(render.already_text(ref, path), render.already_text(ref, path, pretty=True), render.tool_already_text(ref, path)).first()
+            out = {"success": True, "alreadyExists": True, "refId": saved.ref_id, "filepath": saved.filepath, "message": render.ALREADY_MESSAGE}
+            return out | dict(zip(("text", "pretty", "tool"), texts, strict=True))
         self._write(saved.filepath, after.where(F.col("filepath") == saved.filepath).first().value)
         r = {**found, "ref_id": saved.ref_id, "filepath": saved.filepath}
         shown = self.spark.createDataFrame(
@@ -67,15 +78,16 @@ class Service:
             "ref_id string, title string, byline string, site_name string, excerpt string, filepath string, markdown string, score int, used_rendered boolean, rendered_reason string",
         )
         columns = {c: F.col(c) for c in shown.columns}
-        plain, pretty = shown.select(render.saved_text(columns), render.saved_text(columns, pretty=True)).first()
+        plain, pretty, tool = shown.select(render.saved_text(columns), render.saved_text(columns, pretty=True), render.tool_text(columns)).first()
         extra = {
             "title": r["title"], "byline": r["byline"], "siteName": r["site_name"], "excerpt": r["excerpt"], "url": url, "size": found["size"],
             "tokens": (found["size"] + 2) // 4, "quality": r["score"], "usedPlaywright": r["used_rendered"], "playwrightReason": r["rendered_reason"], "query": query,
         }
-        return out | {k: v for k, v in extra.items() if v is not None} | {"text": plain, "pretty": pretty}
+        return out | {k: v for k, v in extra.items() if v is not None} | {"text": plain, "pretty": pretty, "tool": tool}
 
     def list_cached(self) -> list[dict]:
-        return [r.asDict() for r in store.list_references(self.state()).collect()]
+        names = {"ref_id": "refId", "fetched_date": "fetchedDate"}
+        return [{names.get(k, k): v for k, v in r.asDict().items() if v is not None} for r in store.list_references(self.state()).collect()]
 
     def _ids(self, ref_id: str) -> DataFrame:
         return self.spark.createDataFrame([(ref_id,)], "ref_id string")
@@ -108,9 +120,11 @@ class Service:
         if not found["success"]:
             return found
         urls = [x["href"] for x in found["links"]]
+        if not urls:
+            return {"success": True, "message": "No links to fetch", "sourceRef": ref_id, "results": []}
         links = self.spark.createDataFrame(list(enumerate(urls)), "pos long, href string")
         state = self.state()
-        fetched = self._fetched(urls).select("url", "success", "title", "markdown", "error") if urls else self.spark.createDataFrame([], "url string, success boolean, title string, markdown string, error string")
+        fetched = self._fetched(urls).select("url", "success", "title", "markdown", "error")
         results, after = crawl.fetch_links(state, links, fetched, utc_day(), refetch, self.config.paths.temp_dir)
         rows = results.orderBy("pos").collect()
         for r in after.join(state.select("filepath", F.col("value").alias("old")), "filepath", "left").where("old is null or old <> value").collect():

@@ -105,18 +105,28 @@ def service(spark, tmp_path, monkeypatch):
     return lambda config: Service(spark, config, from_table(spark, pages))
 
 
-def test_service_flow(service, capsys):
+def test_service_flow(service, capsys, caplog):
     s = service(Config())
     first = s.fetch_url("https://e.com/a", query="why")
     assert first["success"] and first["refId"] == "test-article" and first["quality"] == 100 and "Cached: test-article" in first["text"]
-    assert s.fetch_url("https://e.com/a")["alreadyExists"]
+    again = s.fetch_url("https://e.com/a")
+    assert again["alreadyExists"] and again["message"] == "URL already fetched. Use --refetch to update."
+    assert again["pretty"] == f"📦 Already cached: test-article\n   File: {again['filepath']}\n\n💡 Use --refetch to update"
     assert not s.fetch_url("https://e.com/login")["success"]
     assert s.extract_links("test-article")["links"] == [{"text": "more", "href": "https://e.com/other"}]
     assert s.fetch_links("test-article")["summary"] == {"new": 1, "cached": 0, "failed": 0}
-    assert [r["ref_id"] for r in s.list_cached()] == ["other-page", "test-article"]
+    assert [r["refId"] for r in s.list_cached()] == ["other-page", "test-article"]
     assert cli.run(["list"], service) == 0 and "Cached references (2)" in capsys.readouterr().out
+    assert cli.run(["list", "--pretty"], service) == 0 and capsys.readouterr().out.startswith("📚 Cached references (2):\n\nother-page | ")
     assert cli.run(["links", "none"], service) == 1
+    capsys.readouterr()
+    assert cli.run(["links", "none", "-o", "json"], service) == 1 and set(json.loads(capsys.readouterr().out)) == {"success", "error"}
+    assert cli.run(["links", "test-article", "--pretty"], service) == 0 and capsys.readouterr().out.startswith("🔗 Found 1 links in test-article:\n\n  more\n    → ")
+    assert cli.run(["fetch-links", "test-article", "-v"], service) == 0
+    assert capsys.readouterr().out == "Fetching 1 links from test-article...\n\ncached: other-page\n\nSummary: 0 new, 1 cached, 0 failed\n"
+    assert "fetching 1 pages" in caplog.text
     assert cli.run(["fetch", "https://e.com/other", "-o", "path"], service) == 0 and capsys.readouterr().out.strip() == ".tmp/other-page.md"
+    assert cli.run(["promote", "none", "--pretty"], service) == 1 and "not found in .tmp" in capsys.readouterr().err
     promoted = s.promote_reference("test-article")
     assert promoted["toPath"] == "docs/ai/references/test-article.md" and "status: permanent" in open(promoted["toPath"]).read()
     assert s.delete_cached("other-page")["success"] and s.list_cached() == []
@@ -128,6 +138,8 @@ def test_tools(service):
     assert ask("list_cached")["result"]["content"][0]["text"] == "No cached references in .tmp/"
     assert json.loads(ask("fetch_url", url="https://e.com/a", outputFormat="json")["result"]["content"][0]["text"])["refId"] == "test-article"
     assert "more | https://e.com/other" in ask("extract_links", refId="test-article")["result"]["content"][0]["text"]
+    assert ask("fetch_url", url="https://e.com/a")["result"]["content"][0]["text"].endswith("\n\nUse refetch: true to update.")
+    assert ask("fetch_links", refId="test-article")["result"]["content"][0]["text"] == "Fetched links from test-article:\n\nnew: other-page\n\nSummary: 1 new, 0 cached, 0 failed"
     assert ask("nothing")["error"]["message"] == "Unknown tool: nothing"
     assert len(server.answer({"id": 2, "method": "tools/list"}, service)["result"]["tools"]) == 6
     assert server.answer({"method": "notifications/initialized"}, service) is None
