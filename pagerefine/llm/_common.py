@@ -43,7 +43,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 #: Rows and bytes of an Arrow batch on its way to a worker; bound what the JVM and the worker hold of long texts.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 #: A table of at most so many rows and bytes of Parquet is broadcast; a larger one is shuffled.
-BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 16 << 20
+BROADCAST_ROWS, BROADCAST_BYTES = 250_000, 4 << 20
 
 
 def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
