@@ -115,13 +115,13 @@ def fit_profiles(
     counted = map_arrow(rows.join(bounded(chosen), ["key", "label"], "left_semi").select("label", "text"), count, "label string, gram long, n long")
     totals = counted.groupBy("label", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("label").orderBy(F.desc("n"), "gram")
-    top = totals.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < size).select("label", "gram", "rank").collect()
+    top = totals.withColumn("place", F.row_number().over(order)).where(F.col("place") <= size).select("label", "gram", "place").collect()
     languages = tuple(sorted({r.label for r in top}))
     grams = np.array(sorted({r.gram for r in top}), np.int64)
     ranks = np.full((len(languages), len(grams)), size, np.int64)
     row, column = {x: i for i, x in enumerate(languages)}, {int(x): i for i, x in enumerate(grams)}
     for r in top:
-        ranks[row[r.label], column[r.gram]] = r.rank
+        ranks[row[r.label], column[r.gram]] = r.place - 1
     return Profiles(languages, grams, ranks, size)
 
 
@@ -154,12 +154,29 @@ def identify_languages(docs: DataFrame, size: int = 300, per_language: int = 100
     return predict_language(docs, profiles).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text has a language, all columns as they were; null texts and those without a letter go."""
+#: Texts whose score is lower are in none of the learned languages: hardly one of their n-grams is in a profile near its rank.
+LEAST_SCORE = 0.1
+
+
+def keep_identified(
+    docs: DataFrame, profiles: Profiles, text_col: str = "text", least_score: float = LEAST_SCORE, languages: tuple[str, ...] | None = None
+) -> DataFrame:
+    """The rows of docs whose text is in a learned language, all columns as they were.
+
+    Null texts, those without a letter and those that score below least_score go, and those in other languages than
+    `languages`, if given. Where no language was learned there is nothing to compare with, and all rows with a letter
+    stay.
+    """
     at = docs.columns.index(text_col)
 
+    def stays(text: str | None) -> bool:
+        if not profiles.languages:
+            return bool(text) and len(ngrams(text)[0]) > 0
+        found, score = profiles.predict(text)
+        return found != UNKNOWN and score >= least_score and (languages is None or found in languages)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches):
-            yield b.filter(pa.array([profiles.predict(t)[0] != UNKNOWN for t in b.column(at).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([stays(t) for t in b.column(at).to_pylist()], pa.bool_()))
 
     return map_arrow(docs, run, docs.schema)

@@ -21,7 +21,7 @@ from pagerefine.llm.decontamination import clean_documents, decontaminate, find_
 from pagerefine.llm.graph import connected_components
 from pagerefine.llm.jaccard_join import keep_one_of_each, similar_groups
 from pagerefine.llm.language_id import UNKNOWN, fit_profiles, identify_languages, keep_identified, predict_language
-from pagerefine.llm.licenses import LicenseIndex, scan_licenses
+from pagerefine.llm.licenses import LicenseIndex, license_words, scan_licenses
 from pagerefine.llm.quality_rules import quality_rules
 from pagerefine.llm.secrets import RULES, BlobLedger, Rule, redact_secrets, scan_secrets, secret_report
 from pagerefine.llm.substring_dedup import chains, common, minimizers, repeated_passages
@@ -83,6 +83,49 @@ def test_language_accuracy_on_held_out(spark):
     assert all(0 <= r.score <= 1 for r in found)
 
 
+def test_language_like_brute_force(spark):
+    """Profiles and out-of-place distances, counted n-gram by n-gram, give the same languages and scores."""
+    docs = documents(spark, str(DATA)).limit(60).collect()
+    size = 40
+
+    def grams(text):
+        padded = "\x01" + "".join(c if c.isalpha() else "\x01" for c in text.lower()) + "\x01"
+        found = [padded[i : i + n] for n in (1, 2, 3) for i in range(len(padded) - n + 1)]
+        return Counter(g for g in found if g.strip("\x01") and (len(g) < 3 or g[1] != "\x01"))
+
+    def ranked(counts):
+        order = lambda g: sum(ord(c) << 21 * i for i, c in enumerate(reversed(g)))
+        return sorted(counts, key=lambda g: (-counts[g], order(g)))[:size]
+
+    totals = defaultdict(Counter)
+    for r in docs:
+        if r.text and r.lang:
+            totals[r.lang] += grams(r.text)
+    profiles = {k: {g: i for i, g in enumerate(ranked(c))} for k, c in totals.items()}
+    table = spark.createDataFrame(docs)
+    found = {r.doc_id: (r.lang_pred, r.score) for r in predict_language(table, fit_profiles(table, size=size)).collect()}
+    for r in docs:
+        own = ranked(grams(r.text or ""))
+        if not own:
+            assert found[r.doc_id] == (UNKNOWN, 0.0)
+            continue
+        gaps = {k: sum(abs(p[g] - i) if g in p else size for i, g in enumerate(own)) for k, p in profiles.items()}
+        best = min(sorted(gaps), key=gaps.get)
+        assert found[r.doc_id][0] == best and abs(found[r.doc_id][1] - (1 - gaps[best] / (len(own) * size))) < 1e-9
+
+
+def test_languages_that_stay(spark, odd):
+    """A text that no profile fits goes; languages can be chosen; without profiles whatever has a letter stays."""
+    docs = documents(spark, str(DATA))
+    profiles = fit_profiles(docs)
+    other = rows(spark, (1, "Это совсем другой язык, которого здесь никто не учил"), (2, "12 34"), (3, None), (4, docs.where("lang = 'fr'").first().text))
+    assert [r.doc_id for r in keep_identified(other, profiles).collect()] == [4]
+    assert [r.doc_id for r in keep_identified(other, profiles, languages=("en",)).collect()] == []
+    assert sorted(r.doc_id for r in keep_identified(other, fit_profiles(odd.where("lang is null"))).collect()) == [1, 4]
+    kept = keep_identified(docs, profiles)
+    assert kept.columns == docs.columns and kept.count() == docs.where(r"text rlike '\\p{L}'").count()
+
+
 def test_language_odd(spark, odd):
     fitted = fit_profiles(documents(spark, str(DATA)))
     got = defaultdict(list)
@@ -183,6 +226,41 @@ def test_licenses(spark):
     assert 0.9 < by[2].coverage < 1.0 and by[2].start == 2
 
 
+def test_licenses_odd(spark):
+    """Null ids, repeated rows, a text with thousands of notices, words put into the middle of a license."""
+    mit = dict(LicenseIndex().templates)["mit"].split()
+    parted = " ".join(mit[:80] + [f"own{i}" for i in range(30)] + mit[80:])
+    many = "Released under the MIT License. All rights reserved. " * 5000
+    texts = [(None, " ".join(mit)), (1, parted), (1, parted), (2, many), (3, "All rights reserved. " * 3000)]
+    found = Counter((r.doc_id, r.license, round(r.coverage, 2)) for r in scan_licenses(rows(spark, *texts)).collect())
+    assert found == {(None, "mit", 1.0): 1, (1, "mit", 1.0): 2, (2, "mit-notice", 1.0): 5000, (2, "all-rights-reserved", 1.0): 5000, (3, "all-rights-reserved", 1.0): 3000}
+
+
+def test_edited_licenses_like_longest_subsequence(spark):
+    """Long templates with edits, beside each other: found as the longest common subsequence with each template says."""
+    index, rng = LicenseIndex(), random.Random(9)
+    long = {n: license_words(t.encode()).tolist() for n, t in index.templates if len(t) > 300}
+    raw = {n: re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", t) for n, t in index.templates if len(t) > 300}
+    texts, expected = [], {}
+    for i, (name, words) in enumerate(sorted(raw.items())):
+        edits, edited = rng.choice([0, 0.03, 0.06]), []
+        for w in words:
+            how = rng.randrange(3) if rng.random() < edits else 3
+            edited += [[f"z{rng.randrange(10**6)}"], [], [w, f"z{rng.randrange(10**6)}"], [w]][how]
+        text = " ".join([f"a{rng.randrange(10**6)}" for _ in range(50)] + edited + [f"b{rng.randrange(10**6)}" for _ in range(50)])
+        own = license_words(text.encode()).tolist()
+        shares = {n: common(own, t) for n, t in long.items()}
+        expected[i] = max(shares, key=lambda n: (shares[n] >= 0.8 * len(long[n])) * shares[n])
+        texts.append((i, text))
+    found = defaultdict(dict)
+    for r in scan_licenses(rows(spark, *texts)).collect():
+        found[r.doc_id][r.license] = r.n_matched
+    assert {i: max(f, key=f.get) for i, f in found.items()} == expected
+    for i, text in texts:
+        own = common(license_words(text.encode()).tolist(), long[expected[i]])
+        assert found[i][expected[i]] >= 0.97 * own
+
+
 def test_licenses_like_search_for_all_templates(spark):
     """On the table, every line that is a notice is found, and nothing else is."""
     index = LicenseIndex()
