@@ -121,25 +121,61 @@ def prune(n: Node) -> Node:
     return n
 
 
-def _density(n: Node) -> float:
-    """Characters of text, less twice those in links, with a share of what paragraphs below have."""
-    text = len(_one_line(n.text()))
-    linked = sum(len(_one_line(a.text())) for a in n.walk() if a.tag == "a")
-    own = sum(len(_one_line(c.text())) for c in n.children if isinstance(c, Node) and c.tag in ("p", "pre", "ul", "ol", "table", "blockquote", "h1", "h2", "h3"))
-    return own + 0.25 * text - 2 * linked
+class Lengths:
+    """Lengths of the texts below every element, each found once, from its children's.
+
+    raw: characters. line: characters as one line, words parted by one blank. linked: those of links. A text joins the
+    next one's first word unless white space is between them, so each keeps whether it starts and ends in a word.
+    """
+
+    def __init__(self, root: Node):
+        self.raw: dict[Node, int] = {}
+        self.linked: dict[Node, int] = {}
+        self._words: dict[Node, tuple[int, int, bool, bool] | None] = {}
+        for node in reversed(list(root.walk())):
+            raw = linked = 0
+            own = None
+            for c in node.children:
+                if isinstance(c, str):
+                    raw += len(c)
+                    own = self._joined(own, self._of(c))
+                else:
+                    raw += self.raw[c]
+                    linked += self.linked[c]
+                    own = self._joined(own, self._words[c])
+            self.raw[node], self._words[node] = raw, own
+            self.linked[node] = linked + (self.line(node) if node.tag == "a" else 0)
+
+    @staticmethod
+    def _of(text: str) -> tuple[int, int, bool, bool] | None:
+        parts = text.split()
+        return (len(parts), sum(map(len, parts)), not text[0].isspace(), not text[-1].isspace()) if text else None
+
+    @staticmethod
+    def _joined(a, b):
+        if a is None or b is None:
+            return b if a is None else a
+        return a[0] + b[0] - (a[3] and b[2]), a[1] + b[1], a[2], b[3]
+
+    def line(self, node: Node) -> int:
+        own = self._words[node]
+        return own[1] + max(0, own[0] - 1) if own else 0
+
+    def density(self, n: Node) -> float:
+        """Characters of text, less twice those in links, with a share of what paragraphs below have."""
+        own = sum(self.line(c) for c in n.children if isinstance(c, Node) and c.tag in ("p", "pre", "ul", "ol", "table", "blockquote", "h1", "h2", "h3"))
+        return own + 0.25 * self.line(n) - 2 * self.linked[n]
 
 
 def find_article(root: Node) -> Node | None:
     """The element that holds the article, or None if there is too little text."""
+    lengths, nodes = Lengths(root), list(root.walk())
     for tag in ("article", "main"):
-        found = [n for n in root.walk() if n.tag == tag]
-        if found:
-            best = max(found, key=lambda n: len(n.text()))
-            if len(_one_line(best.text())) >= LEAST_TEXT:
-                return best
-    blocks = [n for n in root.walk() if n.tag in ("div", "section", "body", "td", "#root")]
-    best = max(blocks, key=_density, default=None)
-    return best if best is not None and len(_one_line(best.text())) >= LEAST_TEXT else None
+        best = max((n for n in nodes if n.tag == tag), key=lengths.raw.get, default=None)
+        if best is not None and lengths.line(best) >= LEAST_TEXT:
+            return best
+    best = max((n for n in nodes if n.tag in ("div", "section", "body", "td", "#root")), key=lengths.density, default=None)
+    return best if best is not None and lengths.line(best) >= LEAST_TEXT else None
 
 
 class Emitter:

@@ -1,6 +1,8 @@
 """Extraction, routing, store, crawl, service, command line, tools, settings and stream."""
 
+import html
 import json
+import re
 
 import pytest
 from pagerefine import cli, server
@@ -13,6 +15,8 @@ from pagerefine.sources.tables import stored_files
 from pagerefine.streaming import inbox
 from pyspark.sql import functions as F
 
+from tests.conftest import DATA
+
 PAGE = "<html><head><title>{t}</title><meta property='og:site_name' content='Site'><meta name='author' content='Ann'></head><body><nav><a href='/n'>nav</a></nav><article><h1>{t}</h1><p>{p}</p><h2>Section Header</h2><ul><li>One</li><li>Two</li></ul><ol><li>First</ol><pre><code class='language-js'>let  x = 1;</code></pre><p>See <a href='{l}'>more</a> &amp; “quotes” ünï.</p><table><tr><th>A</th></tr><tr><td>1</td></tr></table><p><del>old</del></p></article></body></html>"
 
 
@@ -170,3 +174,24 @@ def test_inbox(spark, tmp_path):
     spark.createDataFrame(rows, "url string, html string, arrived string").withColumn("arrived", F.to_timestamp("arrived")).write.parquet(f"{tmp_path}/in")
     inbox.run_available(inbox.read_inbox(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     assert sorted(r.url for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["u1", "u2"]
+
+
+def test_extraction_of_the_table(spark):
+    """Every page of the table: its article's paragraphs, read with patterns, under the header, cleaned like any text."""
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    rows = {r.url: r.html for r in pages.select("url", "html").collect()}
+    plain = lambda s: " ".join(html.unescape(re.sub(r"<[^>]*>", "", s)).split())
+    for url, text in rows.items():
+        inner = re.search(r"(?s)<article><h1>(.*?)</h1>(.*?)</article>", text)
+        parts = [p for p in map(plain, re.split(r"<br>|</?p>", inner[2])) if p]
+        found = extract(text, url)
+        if len(" ".join([inner[1], *parts])) < 25:
+            assert found["error"] == NO_ARTICLE
+            continue
+        assert found["title"] == plain(re.search(r"<title>(.*?)</title>", text)[1]) and found["error"] is None
+        assert found["body"].replace("*", "") == "\n\n".join(parts).replace("*", "")
+        assert found["excerpt"] in (None, "") or plain(inner[2]).startswith(found["excerpt"][:50])
+    out = {r.url: r for r in extract_pages(pages).collect()}
+    assert set(out) == set(rows)
+    for url, r in out.items():
+        assert r.error or r.markdown.startswith(f"# {r.title}\n\n") and f"**URL:** {url}\n\n---\n\n" in r.markdown and r.markdown.endswith("\n")
