@@ -17,7 +17,8 @@ def fetch_links(state: DataFrame, links: DataFrame, fetched: DataFrame, day: Col
     """Results pos, url, status, ref_id, error for links(pos, href), and the new state.
 
     fetched: url, success, title, markdown, error of pages at hand; a link without one failed. Of pages of one url, those that succeeded come first, then
-    the first by title and text counts. One join for all links.
+    the first by title and text counts. One join for all links. fetched is read
+    several times, so pages that are costly to get are best stored before.
     """
     page = F.struct((~F.coalesce("success", F.lit(False))).alias("failed"), "title", "markdown", F.col("error").alias("fetch_error"), "success")
     pages = fetched.groupBy(F.col("url").alias("href")).agg(F.min(page).alias("p")).select("href", "p.success", "p.title", "p.markdown", "p.fetch_error")

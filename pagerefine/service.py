@@ -124,11 +124,12 @@ class Service:
             return {"success": True, "message": "No links to fetch", "sourceRef": ref_id, "results": []}
         links = self.spark.createDataFrame(list(enumerate(urls)), "pos long, href string")
         state = self.state()
-        fetched = self._fetched(urls).select("url", "success", "title", "markdown", "error")
+        fetched = self._fetched(urls).select("url", "success", "title", "markdown", "error").cache()  # each page is asked for once
         results, after = crawl.fetch_links(state, links, fetched, utc_day(), refetch, self.config.paths.temp_dir)
         rows = results.orderBy("pos").collect()
         for r in after.join(state.select("filepath", F.col("value").alias("old")), "filepath", "left").where("old is null or old <> value").collect():
             self._write(r.filepath, r.value)
+        fetched.unpersist()
         counts = {s: sum(r.status == s for r in rows) for s in ("new", "cached", "failed")}
         items = [{k: v for k, v in {"url": r.url, "status": r.status, "refId": r.ref_id, "error": r.error}.items() if v is not None} for r in rows]
         return {"success": True, "sourceRef": ref_id, "summary": counts, "results": items}
