@@ -16,7 +16,7 @@ from pagerefine.llm.secrets import redact_secrets
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learn the languages from the documents that aren't held out; documents without a language go."""
+    """Learn the languages from the documents that aren't held out; documents that no learned language fits go."""
     return keep_identified(docs, fit_profiles(docs.where(~held_out(docs["doc_id"]))))
 
 
