@@ -400,9 +400,9 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     mixed = labelled.groupBy("sig", "space").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).where("low <> high").select("sig", "space")
     left = stored(labelled.join(mixed, ["sig", "space"], "left_semi"), "open-members")
     # Similar sets differ in size by a factor at most, so they are in one class of sizes or in neighbouring ones.
-    left = left.withColumn("class", F.floor(F.log("n") / F.lit(math.log(100 / percent * 1.001 if percent < 100 else 1.001))))
-    other = left.select("sig", "space", F.explode(F.array(*(F.col("class") + d for d in (-1, 0, 1)))).alias("class"), *(F.col(c).alias(f"{c}2") for c in (*columns, "component")))
-    rest = left.join(other, ["sig", "space", "class"]).where("sid < sid2 and component <> component2").where(_possible(threshold))
+    classed = left.withColumn("class", F.floor(F.log("n") / F.lit(math.log(100 / percent * 1.001 if percent < 100 else 1.001))))
+    other = classed.select("sig", "space", F.explode(F.array(*(F.col("class") + d for d in (-1, 0, 1)))).alias("class"), *(F.col(c).alias(f"{c}2") for c in (*columns, "component")))
+    rest = classed.join(other, ["sig", "space", "class"]).where("sid < sid2 and component <> component2").where(_possible(threshold))
     rest = rest.select(F.col("sid").alias("a"), F.col("sid2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     rest = stored(unlike_left_out(rest, sketches, threshold), "open-pairs")
     sets = token_sets(rows, first, rest, width, size)
