@@ -247,30 +247,49 @@ class LicenseIndex:
         return out
 
     def joined(self, template: int, parts: list[Part]) -> Iterator[tuple[int, int, int, float, str]]:
-        """start, end, matched words, coverage and name of what parts in a row cover enough of."""
-        size, open_ = len(self.words[template]), []
-        done = []
+        """start, end, matched words, coverage and name of what parts cover enough of, alone or in a row.
+
+        A part follows another one in both texts with few words between; what both hold counts once. The best row
+        comes first, and a part is in one row.
+        """
+        size = len(self.words[template])
+        rest = []
         for p in parts:
-            done += [c for c in open_ if p.start - c[-1].end > self.inserted]
-            open_ = [c for c in open_ if p.start - c[-1].end <= self.inserted]
-            fits = [c for c in open_ if p.start >= c[-1].end and p.first >= c[-1].last]
-            if fits:
-                max(fits, key=lambda c: sum(x.matched for x in c)).append(p)
+            if p.matched >= self.coverage * size:
+                yield p.start, p.end, p.matched, p.matched / size, self.templates[template][0]
             else:
-                open_.append([p])
-        for c in done + open_:
-            matched = sum(x.matched for x in c)
-            if matched >= self.coverage * size:
-                yield c[0].start, c[-1].end, matched, matched / size, self.templates[template][0]
+                rest.append(p)
+        longest = max((p.end - p.start for p in rest), default=0)
+        left_out = max(self.inserted, round((1 - self.coverage) * size))
+        score, before = [p.matched for p in rest], [-1] * len(rest)
+        for n, p in enumerate(rest):
+            m = n - 1
+            while m >= 0 and p.start - rest[m].start <= longest + self.inserted:
+                q = rest[m]
+                shared = max(0, q.end - p.start, q.last - p.first)
+                follows = q.start < p.start and q.end < p.end and q.first < p.first and q.last < p.last
+                near = p.start - q.end <= self.inserted and p.first - q.last <= left_out and 2 * shared <= p.end - p.start
+                if follows and near and score[m] + p.matched - shared > score[n]:
+                    score[n], before[n] = score[m] + p.matched - shared, m
+                m -= 1
+        used = [False] * len(rest)
+        for n in sorted(range(len(rest)), key=lambda n: (-score[n], n)):
+            if score[n] < self.coverage * size:
+                break
+            end, first, whole = n, n, True
+            while n >= 0 and whole:
+                whole, used[n], first, n = not used[n], True, n, before[n]
+            if whole:
+                yield rest[first].start, rest[end].end, score[end], score[end] / size, self.templates[template][0]
 
     def find(self, words: np.ndarray, text: bytes) -> list[tuple[str, float, int, int, int]]:
         """license, coverage, matched words, and start and end in code points, by start; a match inside another one
-        with more matched words is left out."""
+        with more matched words, or as many and a higher coverage, is left out."""
         found = sorted({f for template, parts in self.parts(words).items() for f in self.joined(template, parts)})
         if not found:
             return []
         longest, starts, kept = max(f[1] - f[0] for f in found), [f[0] for f in found], []
-        rank = lambda f: (f[2], -f[0], f[4])
+        rank = lambda f: (f[2], f[3], -f[0], f[4])
         for f in found:
             n, inside = bisect_left(starts, f[1] - longest), False
             while not inside and n < len(found) and found[n][0] <= f[0]:
