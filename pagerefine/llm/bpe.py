@@ -39,12 +39,28 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def unsupported(spec: dict) -> list[str]:
+    """What a tokenizer file asks for that isn't done here; truncation, padding and post-processing aren't applied."""
+    model, before, after = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("decoder") or {}
+    plain = {
+        "a model other than BPE": model.get("type", "BPE") != "BPE", "a normalizer": spec.get("normalizer"),
+        "pre-tokens that aren't byte-level": before.get("type") != "ByteLevel" or not before.get("use_regex", True),
+        "a space put before texts": before.get("add_prefix_space"), "a decoder that isn't byte-level": after.get("type") != "ByteLevel",
+    }
+    plain |= {k: model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges", "fuse_unk")}
+    tokens = spec.get("added_tokens", [])
+    plain |= {f"added tokens with {k}": any(t.get(k) for t in tokens) for k in ("single_word", "lstrip", "rstrip")}
+    return [k for k, asked in plain.items() if asked]
+
+
 class Vocabulary:
-    """Symbols, pair ranks and special strings of a byte-level tokenizer file."""
+    """Symbols, pair ranks and special strings of a byte-level tokenizer file; a file that asks for more is an error."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if found := unsupported(spec):
+            raise ValueError(f"{path} asks for {', '.join(found)}")
         letters, ids = byte_letters(), spec["model"]["vocab"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         self.byte_ids = [0] * 256

@@ -3,11 +3,12 @@
 Unseen pre-tokens of a batch lie one after another in one array of symbols. Each round looks up the ranks of all
 adjacent pairs at once, takes each sequence's lowest rank, and merges all its occurrences in that sequence; a
 sequence without a mergeable pair is done, and its surviving symbols are counted. All occurrences may merge at
-once as a pair with a new symbol always has a higher rank than the merge that made the symbol.
+once as a pair with a new symbol always has a higher rank than the merge that made the symbol, which is checked.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,8 +20,10 @@ from pyspark.sql import functions as F
 from ._common import map_arrow, steps
 from .bpe import CACHE_BYTES, CACHE_ENTRIES, PRE_TOKEN, Vocabulary
 
-#: Symbols that one ragged array holds at most, unless a single pre-token is longer.
+#: Symbols that one ragged array holds at most.
 RAGGED_SYMBOLS = 1 << 20
+#: Longer pre-tokens, of which a round would look at all symbols to merge a few, are linked instead.
+LONG_PIECE = 512
 
 
 def merged_counts(pieces: list[bytes], byte_ids: np.ndarray, keys: np.ndarray, ranks: np.ndarray, merged: np.ndarray) -> np.ndarray:
@@ -56,11 +59,55 @@ def merged_counts(pieces: list[bytes], byte_ids: np.ndarray, keys: np.ndarray, r
     return out
 
 
+def merged_count(symbols: list[int], merges: dict[int, tuple[int, int]]) -> int:
+    """Symbols left of one long pre-token. The same rounds, each over the places of the lowest rank alone.
+
+    Symbols are linked to their neighbours, and places are listed by the rank of the pair that starts there, so a
+    round costs as much as it merges, however long the rest is.
+    """
+    n = left = len(symbols)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    by_rank: dict[int, list[int]] = {}
+
+    def listed(i: int) -> None:
+        if i >= 0 and after[i] < n and (found := merges.get(symbols[i] << 32 | symbols[after[i]])):
+            if found[0] not in by_rank:
+                heapq.heappush(ranks, found[0])
+            by_rank.setdefault(found[0], []).append(i)
+
+    ranks: list[int] = []
+    for i in range(n):
+        listed(i)
+    while ranks:
+        rank = heapq.heappop(ranks)
+        for i in sorted(by_rank.pop(rank)):
+            j = after[i]
+            if symbols[i] < 0 or j >= n:
+                continue
+            found = merges.get(symbols[i] << 32 | symbols[j])
+            if found is None or found[0] != rank:  # merged since, or the second of two that overlapped
+                continue
+            symbols[i], symbols[j] = found[1], -1
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            left -= 1
+            listed(i)
+            listed(before[i])
+    return left
+
+
 class Counter:
-    """Counts tokens of texts as a byte-level vocabulary file gives them."""
+    """Counts tokens of texts as a byte-level vocabulary file gives them.
+
+    A file where a pair with a merged symbol ranks before the merge that makes it is an error: rounds need that order.
+    """
 
     def __init__(self, path: str):
         v = self.vocabulary = Vocabulary(path)
+        made = {symbol: rank for rank, symbol in v.merges.values()}
+        if any(rank <= max(made.get(key >> 32, -1), made.get(key & 0xFFFFFFFF, -1)) for key, (rank, _) in v.merges.items()):
+            raise ValueError(f"{path} has a pair that ranks before one of its symbols")
         self.byte_ids = np.array(v.byte_ids, np.int64)
         keys = np.fromiter(v.merges, np.int64, len(v.merges))
         values = np.array(list(v.merges.values()), np.int64).reshape(-1, 2)
@@ -72,6 +119,9 @@ class Counter:
         found, batch, size = {}, [], 0
         for piece in [*unseen, None]:
             raw = b"" if piece is None else piece.encode("utf-8")
+            if len(raw) > LONG_PIECE:
+                found[piece] = merged_count([self.vocabulary.byte_ids[b] for b in raw], self.vocabulary.merges)
+                continue
             if batch and (piece is None or size + len(raw) > RAGGED_SYMBOLS):
                 counts = merged_counts([r for _, r in batch], self.byte_ids, self.keys, self.ranks, self.merged).tolist()
                 found.update(zip((p for p, _ in batch), counts, strict=True))

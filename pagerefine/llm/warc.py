@@ -11,6 +11,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
@@ -45,13 +46,23 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def record_id(page_id) -> str:
+    """A page's name in records: its id as text, percent-encoded; a null id has another name than an empty one."""
+    return "<urn:no-page>" if page_id is None else f"<urn:page:{quote(str(page_id), safe='')}>"
+
+
+def page_of(name: str) -> str | None:
+    """The id in a name that record_id() made, as text."""
+    return unquote(name.removeprefix("<urn:page:").removesuffix(">")) if name.startswith("<urn:page:") else None
+
+
 def record_bytes(page_id, url: str | None, payload: bytes, refers_to=None, revisit: bool = False, date: str = "1970-01-01T00:00:00Z") -> bytes:
     """A response record, or a revisit: the payload's HTTP header without the payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     fields = [
         ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"),
+        ("WARC-Record-ID", record_id(page_id)),
         ("WARC-Date", date),
         ("WARC-Payload-Digest", f"sha1:{payload_digest(payload)}"),
         ("Content-Type", "application/http; msgtype=response"),
@@ -60,7 +71,7 @@ def record_bytes(page_id, url: str | None, payload: bytes, refers_to=None, revis
     if url:
         fields.append(("WARC-Target-URI", url.translate({10: "%0A", 13: "%0D"})))
     if revisit:
-        fields += [("WARC-Refers-To", f"<urn:page:{'' if refers_to is None else refers_to}>"), ("WARC-Profile", PROFILE)]
+        fields += [("WARC-Refers-To", record_id(refers_to)), ("WARC-Profile", PROFILE)]
     head = VERSION + b"\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n"
     return head + block + END
 
@@ -97,12 +108,11 @@ def parse_record(raw: bytes) -> dict:
             raise WarcError("a revisit has a payload or refers to nothing")
     else:
         raise WarcError(f"unknown type {kind}")
-    page = lambda uri: uri.removeprefix("<urn:page:").removesuffix(">") or None
     return {
-        "page_id": page(fields["warc-record-id"]),
+        "page_id": page_of(fields["warc-record-id"]),
         "url": fields.get("warc-target-uri"),
         "record_type": kind,
-        "refers_to": page(fields["warc-refers-to"]) if kind == "revisit" else None,
+        "refers_to": page_of(fields["warc-refers-to"]) if kind == "revisit" else None,
         "payload_bytes": int(length),
         "payload_digest": digest,
         "payload": payload if kind == "response" else None,
@@ -280,6 +290,7 @@ def archive_round_trip(spark: SparkSession, pages: DataFrame, min_bytes: int = 0
     """Write all pages to archives in the shared folder and read them back: one row per row of pages.
 
     page_id, payload_bytes, payload_digest, record_type, refers_to. An empty table gives no archive and no rows.
+    Ids may be numbers or texts of any characters; rows that repeat an id have records of one name.
     """
     kind = pages.schema["page_id"].dataType
     manifest = write_archives(mark_revisits(pages, min_bytes=min_bytes), new_path(spark, "warc"), train_dictionary(pages, "page_id", "html"))
