@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagerefine.functions.shipping import ship
+from pagerefine.functions.shipping import ship, small_batches
 
 #: Rows that one Python step turns into an output batch; bounds a worker's memory with long texts.
 ROWS_PER_STEP = 512
@@ -40,8 +40,6 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: Rows and bytes of an Arrow batch on its way to a worker; bound what the JVM and the worker hold of long texts.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 #: A table of at most so many rows and bytes of Parquet is broadcast; a larger one is shuffled.
 BROADCAST_ROWS, BROADCAST_BYTES = 250_000, 4 << 20
 
@@ -50,11 +48,14 @@ def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write df below the shared folder and read it back: cuts the lineage, survives lost executors.
 
     The tasks that compute df write its files, as many as there are; where the number of rows is known, at most one
-    for each half million, so that the rounds over a small table don't make thousands.
+    for each half million, so that the rounds over a small table don't make thousands. Spark removes the shuffle files
+    of what was written only once the driver's collector finds them unused, so that is asked for after a large table.
     """
     spark, schema = df.sparkSession, df.schema
     path = new_path(spark, name)
     (df if rows is None else df.coalesce(1 + rows // 500_000)).write.parquet(path)
+    if rows is None:
+        spark._jvm.System.gc()
     out = spark.read.schema(schema).parquet(path)
     out.stored_at = path
     return out
@@ -74,13 +75,9 @@ def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """mapInArrow, with this package on the executors, in small batches: the session's limits are lowered if higher."""
-    spark = df.sparkSession
-    ship(spark)
-    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = spark.conf.get(name).rstrip("b")
-        if not now.isdigit() or not 0 < int(now) <= most:
-            spark.conf.set(name, str(most))
+    """mapInArrow, with this package on the executors, in small batches."""
+    ship(df.sparkSession)
+    small_batches(df.sparkSession)
 
     def run(batches):
         yield from function(batches)

@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import json
 import random
 import re
 import struct
@@ -14,7 +15,8 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from pagerefine.llm import jaccard_join, queries, warc
+from pagerefine.llm import decontamination, jaccard_join, queries, secrets, warc
+from pagerefine.llm import quality_rules as quality_rules_module
 from pagerefine.llm._common import documents
 from pagerefine.llm.bpe import bpe_decode, bpe_encode, bpe_round_trip, codec
 from pagerefine.llm.decontamination import clean_documents, decontaminate, find_matches
@@ -25,6 +27,7 @@ from pagerefine.llm.licenses import LicenseIndex, license_words, scan_licenses
 from pagerefine.llm.quality_rules import quality_rules
 from pagerefine.llm.secrets import RULES, BlobLedger, Rule, redact_secrets, scan_secrets, secret_report
 from pagerefine.llm.substring_dedup import chains, common, minimizers, repeated_passages
+from pagerefine.llm.token_counts import Counter as Counting
 from pagerefine.llm.token_counts import token_counts
 from pagerefine.llm.words import hashed_words
 from tests.conftest import DATA
@@ -474,6 +477,29 @@ def test_tokens_like_library(spark, library):
     assert all(got[i].n_bytes == len(t.encode()) and got[i].over_limit == (got[i].n_tokens > 1024) for i, t in enumerate(texts))
 
 
+def test_long_pre_tokens_like_library(library):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(a) for _ in range(n)) for a in ("ab", "abcdefghijklmnopqrstuvwxyz", "aetion") for n in (511, 512, 513, 30_000)] + ["a" * 5001, "!" * 3000]
+    assert Counting(BPE).count(texts) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_files_that_ask_for_more(tmp_path):
+    """A tokenizer file with settings that aren't done here is an error, not a wrong result."""
+    spec = json.load(open(BPE, encoding="utf-8"))
+    changes = [("normalizer", {"type": "Lowercase"}), ("pre_tokenizer", {"type": "Whitespace"}), ("pre_tokenizer", spec["pre_tokenizer"] | {"add_prefix_space": True})]
+    changes += [("model", spec["model"] | {k: v}) for k, v in (("ignore_merges", True), ("dropout", 0.1), ("end_of_word_suffix", "</w>"))]
+    changes += [("added_tokens", [spec["added_tokens"][0] | {"lstrip": True}])]
+    for i, (key, value) in enumerate(changes):
+        path = tmp_path / f"{i}.json"
+        path.write_text(json.dumps(spec | {key: value}), encoding="utf-8")
+        with pytest.raises(ValueError):
+            codec(str(path))
+    path = tmp_path / "order.json"
+    path.write_text(json.dumps(spec | {"model": spec["model"] | {"merges": spec["model"]["merges"][::-1]}}), encoding="utf-8")
+    with pytest.raises(ValueError):
+        Counting(str(path))
+
+
 def test_round_trip_of_table(spark, library):
     docs = documents(spark, str(DATA))
     got = {r.doc_id: r for r in bpe_round_trip(docs, BPE).collect()}
@@ -552,6 +578,17 @@ def test_proximity(spark):
     assert {(r.doc, r.kind) for r in found} == {(1, "near"), (2, "phrase"), (2, "near")}
 
 
+def test_hits_in_odd_rows(spark, odd):
+    """A null id, repeated rows, a very long text, and items that repeat an id or have no words."""
+    phrase = " ".join(f"q{i}" for i in range(12))
+    docs = odd.unionByName(rows(spark, (None, f"a {phrase} b"), (30, f"{LONG} {phrase} {LONG}"), (30, phrase), (30, phrase)))
+    items = spark.createDataFrame([("i", phrase), ("i", " ".join(LONG.split()[100:115])), ("none", None), ("blank", " ,.")], "item_id string, text string")
+    got = Counter((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in decontaminate(docs, items).collect())
+    hit = {k: n for k, n in got.items() if k[2]}
+    assert hit == {(None, 14, 12, 1): 1, (30, 60_012, 12 + 6 * 15, 1): 1, (30, 12, 12, 1): 2, (5, 30_000, 3 * 15, 1): 1}
+    assert sum(got.values()) == len(ODD) + 4
+
+
 def test_no_items_or_documents(spark, odd, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert all(not r.contaminated for r in decontaminate(odd, none).collect())
@@ -571,6 +608,14 @@ def test_archives(spark):
     assert all(r.record_type == "response" for r in larger)
 
 
+def test_archives_of_text_ids(spark):
+    """Ids with line ends, blanks, percent signs and no characters at all come back as they were."""
+    ids = ["a\r\nWARC-Type: odd", "", " b ", "%41", "<ü>", None, "null"]
+    pages = spark.createDataFrame([(i, "u", f"text {n}") for n, i in enumerate(ids)] + [("z", "u", "text 1")], "page_id string, url string, html string")
+    got = Counter((r.page_id, r.record_type, r.refers_to) for r in warc.archive_round_trip(spark, pages).collect())
+    assert got == Counter([(i, "response", None) for i in ids] + [("z", "revisit", "")])
+
+
 def test_archive_payloads_and_dictionary(spark):
     pages = spark.createDataFrame([(i, f"u{i}", f"<html>{'shared text ' * 20}{i} {random.Random(i).random()}</html>") for i in range(300)], "page_id long, url string, html string")
     trained = warc.train_dictionary(pages, "page_id", "html")
@@ -612,6 +657,17 @@ def test_reader_reports_errors(spark, tmp_path):
 
 # --- native forms ---------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("name", ["op5_secrets", "op8_quality_rules", "op9_decontamination"])
-def test_native_plans_run_no_python(name, spark):
-    plan = queries.QUERIES[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+def test_native_plans_run_no_python(name, spark, monkeypatch):
+    """The last plan, those of all tables stored on the way, and what the ledger writes."""
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    for module in (quality_rules_module, secrets, decontamination):
+        if hasattr(module, "stored"):
+            monkeypatch.setattr(module, "stored", lambda df, *a, own=module.stored: own(seen(df), *a))
+    monkeypatch.setattr(secrets, "scan_blobs", lambda *a, own=secrets.scan_blobs: seen(own(*a)))
+    seen(queries.QUERIES[name](spark, str(DATA)))
+    assert len(plans) > 1 and not any(re.search("Python|Pandas|Arrow", p) for p in plans)

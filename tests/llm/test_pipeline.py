@@ -1,5 +1,6 @@
 """The pipeline against its stages by hand, and the entry without the subpackage."""
 
+import hashlib
 import subprocess
 import sys
 from pathlib import Path
@@ -12,6 +13,15 @@ from tests.conftest import DATA, ROOT
 from tests.llm.test_operators import brute_groups, brute_hits
 
 
+def expected(docs, items):
+    """The texts that stay before secrets are masked, by comparing all with all."""
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    kept = {i: t for i, t in texts.items() if t and any(c.isalpha() for c in t)}
+    groups = brute_groups(kept, 5, 80)
+    kept = {i: t for i, t in kept.items() if groups[i][1] == i}
+    return {i: t for i, t in kept.items() if not brute_hits(t, items)[-1]}
+
+
 def test_stages_like_brute_force(spark):
     from tokenizers import Tokenizer
 
@@ -19,11 +29,7 @@ def test_stages_like_brute_force(spark):
     own = [(10**6, "my api_key = 'abcdef123456' and words of its own", "en", "s", 48), (10**6 + 1, None, "en", "s", 0), (10**6 + 2, "123 456", None, None, 7)]
     docs = docs.unionByName(spark.createDataFrame(own, docs.schema)).cache()
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    kept = {i: t for i, t in texts.items() if t and any(c.isalpha() for c in t)}
-    groups = brute_groups(kept, 5, 80)
-    kept = {i: t for i, t in kept.items() if groups[i][1] == i}
-    words = {i: t for i, t in kept.items() if not brute_hits(t, items)[-1]}
+    words = expected(docs, items)
     after = docs
     for name, stage in corpus_pipeline.STAGES[:4]:
         after = stage(spark, after, str(DATA)).cache()
@@ -38,7 +44,28 @@ def test_stages_like_brute_force(spark):
 
 
 def test_run(spark):
-    assert corpus_pipeline.run(spark, str(DATA)).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    left = expected(documents(spark, str(DATA)), items)
+    secret = {r.doc_id for r in scan_secrets(documents(spark, str(DATA))).collect() if r.spans}
+    out = corpus_pipeline.run(spark, str(DATA))
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert set(got) == set(left) and len(got) == out.count()
+    for i in set(left) - secret:
+        ids = library.encode(left[i], add_special_tokens=False).ids
+        assert got[i].n_tokens == len(ids) and got[i].decoded_sha256 == hashlib.sha256(left[i].encode()).hexdigest()
+    assert all(got[i].decoded_sha256 != hashlib.sha256(left[i].encode()).hexdigest() for i in set(left) & secret)
+
+
+def test_pipeline_without_languages(spark, tmp_path):
+    """Where no document has a language nothing is learned, and whatever has a letter stays."""
+    docs = spark.createDataFrame([(1, "some words", None, "s", 10), (2, "12", None, "s", 2), (3, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()] == [1]
 
 
 def test_entry_without_the_subpackage(tmp_path):
