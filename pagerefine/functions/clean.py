@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,7 +17,9 @@ _FENCE = "```"
 class Rewrite:
     """One step. pattern and to are Java's; re2 and re2_to say the same for engines without look-around, `times` over.
 
-    letters: instead of a pattern, characters that become those of `to`, place by place.
+    literal: what the pattern says, as plain text, which is found without a pattern.
+    letters: characters that become those of `to`, place by place, or go; instead of a pattern, or as one says for SQL.
+    same: leaves every text as it is.
     collapse: only lines that don't start with a fence are rewritten.
     """
 
@@ -26,12 +29,18 @@ class Rewrite:
     re2: str | None = None
     re2_to: str | None = None
     times: int = 1
+    literal: str = ""
     letters: str = ""
+    same: bool = False
     collapse: bool = False
 
     def column(self, text: Column) -> Column:
+        if self.same:
+            return text
         if self.letters:
             return F.translate(text, self.letters, self.to)
+        if self.literal:
+            return F.replace(text, F.lit(self.literal), F.lit(self.to))
         if self.collapse:
             lines = F.transform(F.split(text, "\n"), lambda x: F.when(x.startswith(_FENCE), x).otherwise(F.regexp_replace(x, self.pattern, self.to)))
             return F.array_join(lines, "\n")
@@ -40,7 +49,7 @@ class Rewrite:
     def sql(self, text: str) -> str:
         """The same for DuckDB."""
         quote = lambda s: "'" + s.replace("'", "''") + "'"
-        if self.letters:
+        if self.letters and not self.pattern:
             return f"translate({text}, {quote(self.letters)}, {quote(self.to)})"
         pattern = self.re2 if self.re2 is not None else self.pattern.replace("(?dm)", "(?m)")
         to = self.re2_to if self.re2_to is not None else self.to.replace("$1", "\\1").replace("$2", "\\2")
@@ -54,7 +63,7 @@ class Rewrite:
 
 # The rewrites, in order.
 STRUCTURE = (
-    Rewrite("crlf", r"\r\n", "\n"),
+    Rewrite("crlf", r"\r\n", "\n", literal="\r\n"),
     Rewrite("blank_lines", r"\n{3,}", "\n\n"),
     Rewrite("line_ends", r"[ \t]+([\n\r\x{2028}\x{2029}]|\z)", "$1"),
     Rewrite("trim", TRIM, ""),
@@ -71,11 +80,11 @@ STRUCTURE = (
 CONTENT = (
     Rewrite("empty_links", r"\[([^\]]+)\]\(\)", "$1"),
     Rewrite("tags", r"<[^>]+>", ""),
-    Rewrite("empty_bold", r"\*{4}", ""),
+    Rewrite("empty_bold", r"\*{4}", "", literal="****"),
     Rewrite("bold", r"(?<!\*)\*\*(?!\*)", "", r"(^|[^*])\*\*([^*]|$)", r"\1\2", 2),
-    Rewrite("underlines", r"__", ""),
-    Rewrite("bare_images", r"!\[\]\(([^)]+)\)", "![]($1)"),
-    Rewrite("zero_width", r"[\x{200B}-\x{200D}\x{FEFF}]", ""),
+    Rewrite("underlines", r"__", "", literal="__"),
+    Rewrite("bare_images", r"!\[\]\(([^)]+)\)", "![]($1)", same=True),
+    Rewrite("zero_width", r"[\x{200B}-\x{200D}\x{FEFF}]", "", letters="\u200b\u200c\u200d\ufeff"),
     Rewrite("double_quotes", letters="“”", to='""'),
     Rewrite("single_quotes", letters="‘’", to="''"),
     Rewrite("dashes", letters="–—", to="--"),
@@ -92,8 +101,14 @@ FINISH = (
 
 
 def _apply(text: Column, steps: tuple[Rewrite, ...]) -> Column:
-    for step in steps:
-        text = step.column(text)
+    """The steps in order; those that map single letters, in a row and none of another one's making, as one."""
+    for letters, group in groupby(steps, lambda s: bool(s.letters)):
+        own = list(group)
+        if letters:
+            own.sort(key=lambda s: len(s.letters) != len(s.to))  # letters that go stand last
+            own = [Rewrite("letters", letters="".join(s.letters for s in own), to="".join(s.to for s in own))]
+        for step in own:
+            text = step.column(text)
     return text
 
 
