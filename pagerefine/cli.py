@@ -15,8 +15,8 @@ FORMATS = ("text", "json", "path", "summary")
 HELP = """pagerefine <command> [options]
 
   fetch <url>        fetch a page, clean it and keep it (-q, -o text|json|path|summary, --pretty, --refetch, -v,
-                     --min-quality N, --temp-dir D, --docs-dir D, --wait-strategy S, --force-rendered; pages are
-                     rendered by what Service is given for it, and none is without that)
+                     --min-quality N, --temp-dir D, --docs-dir D, --wait-strategy S, --force-rendered,
+                     --renderer module:function, without which or such a setting no page can be rendered)
   list               list what is kept
   promote <ref>      move a reference to the documents
   delete <ref>       delete a reference
@@ -40,7 +40,7 @@ def parse_args(argv: list[str]) -> Options:
     if not argv or argv[0] not in COMMANDS or "-h" in argv[1:] or "--help" in argv[1:]:
         return Options("help")
     out, rest = Options(argv[0]), iter(argv[1:])
-    takes = {"-q": "query", "--query": "query", "-o": "output", "--output": "output", "--min-quality": "min_quality", "--temp-dir": "temp_dir", "--docs-dir": "docs_dir", "--wait-strategy": "wait_strategy"}
+    takes = {"-q": "query", "--query": "query", "-o": "output", "--output": "output", "--min-quality": "min_quality", "--temp-dir": "temp_dir", "--docs-dir": "docs_dir", "--wait-strategy": "wait_strategy", "--renderer": "renderer"}
     flags = {"--pretty": "pretty", "--refetch": "refetch", "-v": "verbose", "--verbose": "verbose", "--force-rendered": "force", "--force-playwright": "force"}
     for word in rest:
         if word in takes:
@@ -142,7 +142,7 @@ def run(argv: list[str], make_service=None) -> int:
         print(HELP)
         return 0
     own = o.values if o.command == "fetch" else {}
-    config: Config = load(**{k: own.get(k) for k in ("min_quality", "temp_dir", "docs_dir", "wait_strategy")})
+    config: Config = load(**{k: own.get(k) for k in ("min_quality", "temp_dir", "docs_dir", "wait_strategy", "renderer")})
     if o.command == "config":
         print("Current configuration:\n")
         print(json.dumps(config.as_dict(), indent=2))

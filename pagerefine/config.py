@@ -6,6 +6,7 @@ import copy
 import json
 import logging
 import os
+import re
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
@@ -33,8 +34,11 @@ class Paths:
 
 @dataclass(frozen=True)
 class Rendering:
+    """renderer: `module:function` that gives the HTML of a page for its url, wait strategy and timeout; none by default."""
+
     timeout: int = 30000
     wait_strategy: str = "networkidle"
+    renderer: str = ""
 
 
 @dataclass(frozen=True)
@@ -69,14 +73,20 @@ def find_file(folder: str | os.PathLike = ".") -> Path | None:
     return next((p for p in (Path(folder) / n for n in FILES) if p.exists()), None)
 
 
+def snake_case(settings: dict) -> dict:
+    """Keys like minScore as min_score, in sections too; the section `playwright` is the one of rendering."""
+    names = {k: re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", k).lower() for k in settings}
+    return {"rendering" if n == "playwright" else n: snake_case(settings[k]) if isinstance(settings[k], dict) else settings[k] for k, n in names.items()}
+
+
 def from_file(path: str | os.PathLike) -> dict:
-    """A JSON file's settings; any failure is logged and gives none."""
+    """A JSON file's settings, keys in either spelling; any failure is logged and gives none."""
     try:
         found = json.loads(Path(path).read_text(encoding="utf-8"))
     except (OSError, ValueError) as e:
         log.warning("can't read %s: %s", path, e)
         return {}
-    return found if isinstance(found, dict) else {}
+    return snake_case(found) if isinstance(found, dict) else {}
 
 
 def _leading_int(text: str) -> int | None:
@@ -122,14 +132,17 @@ def parse(settings: dict) -> Config:
             raise ConfigError(f"{section_}.{name} must be text")
     if isinstance(out.rendering.timeout, bool) or not isinstance(out.rendering.timeout, (int, float)):
         raise ConfigError("rendering.timeout must be a number")
+    if not isinstance(out.rendering.renderer, str) or out.rendering.renderer.count(":") > 1:
+        raise ConfigError("rendering.renderer must be module:function")
     return out
 
 
 def load(folder: str | os.PathLike = ".", env: dict | None = None, **overrides) -> Config:
-    """overrides: min_quality, js_retry_threshold, temp_dir, docs_dir, wait_strategy, timeout; None is not given."""
+    """overrides: min_quality, js_retry_threshold, temp_dir, docs_dir, wait_strategy, timeout, renderer; None is not given."""
     where = {
         "min_quality": ("quality", "min_score"), "js_retry_threshold": ("quality", "js_retry_threshold"), "temp_dir": ("paths", "temp_dir"),
         "docs_dir": ("paths", "docs_dir"), "wait_strategy": ("rendering", "wait_strategy"), "timeout": ("rendering", "timeout"),
+        "renderer": ("rendering", "renderer"),
     }
     given: dict = {}
     for name, value in overrides.items():

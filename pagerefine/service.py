@@ -27,12 +27,13 @@ RENDERED = "url string, html string, error string"
 class Service:
     """get: urls to a DataFrame of url, html, http_status, status_text, error; render: urls to one of url, html, error.
 
-    Without a renderer no page counts as rendered, so a page that isn't accepted as fetched plainly fails.
+    Without `render` the settings' renderer is used; without that no page counts as rendered, so a page that isn't
+    accepted as fetched plainly fails.
     """
 
     def __init__(self, spark: SparkSession, config: Config, get: Callable[[list[str]], DataFrame], render: Callable[[list[str]], DataFrame] | None = None):
         self.spark, self.config, self.get = spark, config, get
-        self.render = render or (lambda urls: spark.createDataFrame([], RENDERED))
+        self.render = render or (rendered(spark, config) if config.rendering.renderer else lambda urls: spark.createDataFrame([], RENDERED))
 
     # --- state ---
     def state(self) -> DataFrame:
@@ -143,6 +144,16 @@ def live(spark: SparkSession) -> Callable[[list[str]], DataFrame]:
     return lambda urls: spark.read.format("live_pages").option("urls", json.dumps(urls)).load()
 
 
+def rendered(spark: SparkSession, config: Config) -> Callable[[list[str]], DataFrame]:
+    """Render through the settings' renderer, with their wait strategy and timeout."""
+    from pagerefine.sources.live import RenderedPages
+
+    r = config.rendering
+    spark.dataSource.register(RenderedPages)
+    options = {"renderer": r.renderer, "wait_strategy": r.wait_strategy, "timeout": str(int(r.timeout))}
+    return lambda urls: spark.read.format("rendered_pages").options(urls=json.dumps(urls), **options).load()
+
+
 def from_table(spark: SparkSession, pages: DataFrame) -> Callable[[list[str]], DataFrame]:
     """Fetch from a table of pages at hand; a url it lacks is a 404."""
     from pagerefine.sources.tables import with_http_errors
@@ -157,4 +168,4 @@ def from_table(spark: SparkSession, pages: DataFrame) -> Callable[[list[str]], D
     return get
 
 
-__all__ = ["RAW_PAGES", "Service", "from_table", "live"]
+__all__ = ["RAW_PAGES", "Service", "from_table", "live", "rendered"]

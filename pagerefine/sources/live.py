@@ -1,11 +1,15 @@
-"""Pages fetched over HTTP as a Spark data source, for clusters that have a network.
+"""Pages fetched over HTTP, or rendered, as Spark data sources, for clusters that have a network.
 
     spark.dataSource.register(LivePages)
     spark.read.format("live_pages").option("urls", json.dumps(urls)).load()
+
+    spark.dataSource.register(RenderedPages)
+    spark.read.format("rendered_pages").option("urls", json.dumps(urls)).option("renderer", "my_browser:html_of").load()
 """
 
 from __future__ import annotations
 
+import importlib
 import json
 import urllib.error
 import urllib.request
@@ -63,3 +67,34 @@ class LivePages(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
+
+
+class _Rendering(_Reader):
+    """A renderer that can't be loaded fails the read; one that raises for a page gives that page's error."""
+
+    def __init__(self, options):
+        super().__init__({k: v for k, v in options.items() if k != "timeout"})
+        self.module, _, self.function = options["renderer"].partition(":")
+        self.wait, self.milliseconds = options.get("wait_strategy", "networkidle"), int(options.get("timeout", "30000"))
+
+    def read(self, partition: _Urls) -> Iterator[tuple]:
+        render = getattr(importlib.import_module(self.module), self.function)
+        for url in partition.urls:
+            try:
+                yield url, render(url, self.wait, self.milliseconds), None
+            except Exception as e:  # noqa: BLE001  any failure is the row's error
+                yield url, "", str(e) or type(e).__name__
+
+
+class RenderedPages(DataSource):
+    """Pages as a function `module:function(url, wait_strategy, timeout)`, at hand on the executors, renders them."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "rendered_pages"
+
+    def schema(self) -> str:
+        return "url string, html string, error string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _Rendering(self.options)

@@ -195,3 +195,25 @@ def test_extraction_of_the_table(spark):
     assert set(out) == set(rows)
     for url, r in out.items():
         assert r.error or r.markdown.startswith(f"# {r.title}\n\n") and f"**URL:** {url}\n\n---\n\n" in r.markdown and r.markdown.endswith("\n")
+
+
+def test_renderer(spark, tmp_path, monkeypatch):
+    """A page that has no article as fetched is rendered by the settings' function, which gets its wait strategy and timeout."""
+    monkeypatch.chdir(tmp_path)
+    (tmp_path / "pagerefine.config.json").write_text('{"playwright": {"waitStrategy": "load", "timeout": 1234}, "quality": {"minScore": 55}}')
+    config = load(renderer="tests.test_pages:render_for_test")
+    assert (config.rendering.wait_strategy, config.rendering.timeout, config.quality.min_score) == ("load", 1234, 55)
+    pages = spark.createDataFrame([("https://e.com/app", "<div></div>"), ("https://e.com/broken", "<div></div>")], "url string, html string")
+    s = Service(spark, config, from_table(spark, pages))
+    found = s.fetch_url("https://e.com/app")
+    assert found["success"] and found["title"] == "load 1234" and found["usedPlaywright"] and found["playwrightReason"] == "extraction_failed"
+    failed = s.fetch_url("https://e.com/broken")
+    assert not failed["success"] and failed["error"] == "Playwright fetch failed: no such host"
+    with pytest.raises(ConfigError):
+        load(renderer="a:b:c")
+
+
+def render_for_test(url, wait, timeout):
+    if "broken" in url:
+        raise OSError("no such host")
+    return page(f"{wait} {timeout}")
