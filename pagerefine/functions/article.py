@@ -299,7 +299,7 @@ def extract(html: str | None, url: str | None) -> dict:
         first = next((_one_line(n.text()) for n in article.walk() if n.tag == "p" and n.text().strip()), None)
         byline = meta.get("author") or next((_one_line(n.text()) for n in root.walk() if n.attrs.get("rel") == "author" or "byline" in n.attrs.get("class", "").split()), None)
         return out | {
-            "body": body, "title": title, "byline": byline or None, "excerpt": meta.get("description") or meta.get("og:description") or first,
+            "body": body, "title": title, "byline": meta.get("author") if byline is None else byline, "excerpt": meta.get("description") or meta.get("og:description") or first,
             "site_name": meta.get("og:site_name"),
         }
     except Exception as e:  # noqa: BLE001  a page that can't be read is a row with an error

@@ -32,6 +32,12 @@ def test_extraction_contract():
     assert "nav" not in r["body"]
 
 
+def test_empty_fields_stay_empty():
+    long = "<article><p>Words enough for an article to be found here.</p></article>"
+    assert extract(f"<meta name=author content=''>{long}", "u")["byline"] == "" and extract(long, "u")["byline"] is None
+    assert extract(long, "u")["title"] == "" and extract(long, "u")["site_name"] is None
+
+
 @pytest.mark.parametrize("html", ["", None, "<html><body></body></html>", "<body><form><input name=u><button>Log in</button></form></body>"])
 def test_no_article(html):
     assert extract(html, "u")["error"] == NO_ARTICLE
