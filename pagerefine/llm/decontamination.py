@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ._common import ascii_lower, bounded, discard, stored
 
-# Fixed value: what separates words, once A-Z are lower-cased.
+# What separates words, once A-Z are lower-cased, and before that.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SEPARATORS_OF_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: A table of at most so many rows with several columns is broadcast.
 BROADCAST_WIDE = 100_000
 #: How many of a window's words, the rarest, are looked for first.
@@ -25,6 +26,11 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), SEPARATORS), lambda w: w != "")
 
 
+def count_words(text: Column) -> Column:
+    """How many words_of() gives, without lower-casing them."""
+    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), SEPARATORS_OF_ANY_CASE), lambda w: w != "")).cast("long")
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc, h, t: h tells apart texts under a repeated id."""
     text = F.col(text_col).cast("string")
@@ -131,7 +137,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
     verdicts = by_doc.join(hit.withColumnsRenamed({"doc": "d", "h": "x"}), F.col("doc").eqNullSafe(F.col("d")) & (F.col("h") == F.col("x")), "left").select(
         F.col("doc").alias("d"), F.col("h").alias("x"), "n_hit", "items"
     )
-    rows = keyed(docs, "doc_id", "text").select("doc", "h", F.size(words_of(F.col("t"))).cast("long").alias("n_words"))
+    rows = keyed(docs, "doc_id", "text").select("doc", "h", count_words(F.col("t")).alias("n_words"))
     out = rows.join(verdicts, F.col("doc").eqNullSafe(F.col("d")) & (F.col("h") == F.col("x")), "left")
     items_ = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
