@@ -51,20 +51,20 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), text.alias("t"))
-    lines = F.filter(F.split("t", "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
+    lines = F.filter(F.split("t", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     rows = rows.select(
         "doc_id",
         "host",
         F.filter(F.split("t", r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("words"),
-        F.length(F.translate("t", SPACES, "")).alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).alias("n_symbols"),
         lines.alias("lines"),
     )
     n = F.size("words")
+    word_chars = F.length(F.array_join("words", ""))
     at = lambda i: F.get("words", i)
     windows = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(at(i), at(i + 1), at(i + 2)).alias("h"), i.alias("i")))
     rows = rows.select(
-        "doc_id", "host", n.alias("n_words"), "word_chars", "n_symbols", (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
+        "doc_id", "host", n.alias("n_words"), word_chars.alias("word_chars"), "n_symbols", (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
         F.when(n >= 3, F.sort_array(windows)).alias("windows"),
     )
     hash_at = lambda k: F.get("windows", k)["h"]

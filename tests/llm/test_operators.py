@@ -516,7 +516,7 @@ def test_encode_then_decode(odd):
 
 # --- 8 --------------------------------------------------------------------------------------------------------------
 def test_quality_odd_and_hosts(spark):
-    good = " ".join(f"w{i}" for i in range(60))
+    good = " ".join(f"word{i}" for i in range(60))
     texts = [(1, good, "a"), (2, "few words", "a"), (3, "one two three " * 30, "a"), (4, None, None), (5, f"{good}\nx y\nx y\n \n ", None)]
     texts += [(10 + i, "bad " + "## " * 70 + str(i), "b") for i in range(30)] + [(50, good, "b")] + [(60 + i, good + str(i), "c") for i in range(30)]
     docs = spark.createDataFrame(texts, "doc_id long, text string, source string")
