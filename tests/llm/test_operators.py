@@ -359,6 +359,42 @@ def test_passages_of_frequent_seeds(spark, monkeypatch, seen):
     assert found == {(i, 1, 70) for i in range(3, 60, 2)} | {(i, 0, 70) for i in range(3, 60, 3)}
 
 
+def test_passages_of_scattered_first_documents(spark):
+    """Edited passages whose every common piece stands alone in an earlier document."""
+    rng = random.Random(31)
+    new = lambda n: [f"s{rng.randrange(10**7)}" for _ in range(n)]
+    pieces = [new(17) for _ in range(6)]
+    edited = lambda: [w for piece in pieces for w in [*piece, *new(1)]]
+    texts = [(i, new(40) + piece + new(40)) for i, piece in enumerate(pieces)]
+    texts += [(100, new(30) + edited() + new(30)), (200, edited() + new(50)), (None, new(9) + edited())]
+    found = {(r.doc_id, r.other_id): r for r in repeated_passages(rows(spark, *((i, " ".join(w)) for i, w in texts))).collect()}
+    assert set(found) == {(200, 100), (None, 100), (None, 200)}
+    one = found[200, 100]
+    assert (one.start, one.end, one.other_start, one.other_end, one.n_matched) == (0, 107, 30, 137, 102)
+
+
+def test_passages_like_a_later_document_alone(spark):
+    """The second document is like the first, the third like the second alone; more copies of each add a row each."""
+    rng = random.Random(32)
+    new = lambda n: [f"l{rng.randrange(10**7)}" for _ in range(n)]
+    first = new(96)
+    second = [w if i % 12 else new(1)[0] for i, w in enumerate(first)]
+    third = [w if i % 12 not in (7, 8) else new(1)[0] for i, w in enumerate(second)]
+    pad = lambda w: new(20) + w + new(20)
+    texts = [(1, pad(first)), (2, pad(second)), (3, pad(third)), *((i, pad([first, second, third][i % 3])) for i in range(4, 34))]
+    found = repeated_passages(rows(spark, *((i, " ".join(w)) for i, w in texts))).collect()
+    near = defaultdict(set)
+    for r in found:
+        near[r.doc_id].add(r.other_id)
+        near[r.other_id].add(r.doc_id)
+    reached, ahead = {1}, [1]
+    while ahead:
+        more = near[ahead.pop()] - reached
+        reached |= more
+        ahead += more
+    assert reached == set(range(1, 34))
+
+
 def test_passages_odd(spark, odd):
     """Null ids, long texts, repeated rows, and ties between the first documents; a null id comes last of all."""
     passage = " ".join(f"p{i}" for i in range(60))
