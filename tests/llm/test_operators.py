@@ -15,7 +15,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from pagerefine.llm import decontamination, jaccard_join, queries, secrets, warc
+from pagerefine.llm import decontamination, jaccard_join, queries, secrets, substring_dedup, warc
 from pagerefine.llm import quality_rules as quality_rules_module
 from pagerefine.llm._common import documents
 from pagerefine.llm.bpe import bpe_decode, bpe_encode, bpe_round_trip, codec
@@ -395,6 +395,42 @@ def test_passages_like_a_later_document_alone(spark):
     assert reached == set(range(1, 34))
 
 
+def test_passages_of_a_short_line_alone(spark, monkeypatch):
+    """Texts that share a line of under 50 words alone make no chains with each other; a passage amid them is found."""
+    made = {}
+    monkeypatch.setattr(substring_dedup, "stored", lambda df, name, *a, own=substring_dedup.stored: made.setdefault(name, own(df, name, *a)) if name == "late-chains" else own(df, name, *a))
+    rng = random.Random(33)
+    new = lambda n: [f"q{rng.randrange(10**7)}" for _ in range(n)]
+    line, others = new(30), [new(17) for _ in range(4)]
+    edited = lambda: [w for piece in [*others[:2], line, *others[2:]] for w in [*piece, *new(1)]]
+    texts = [(i, new(40) + line + new(40)) for i in range(40)] + [(50 + i, new(40) + piece + new(40)) for i, piece in enumerate(others)]
+    texts += [(100, new(30) + edited() + new(30)), (200, edited() + new(50))]
+    found = [(r.doc_id, r.other_id) for r in repeated_passages(rows(spark, *((i, " ".join(w)) for i, w in texts))).collect()]
+    assert found == [(200, 100)]
+    assert {(r.doc, r.other) for r in made["late-chains"].collect()} == {(200, 100)}
+
+
+def test_reaches():
+    """All pairs at once go as far as one by one, in both directions."""
+    rng = random.Random(34)
+    pairs = []
+    for _ in range(3000):
+        kinds = rng.choice([2, 4, 50])
+        a = [rng.randrange(kinds) + 1 for _ in range(rng.choice([0, 1, 2, 5, 28, 53]))]
+        b = list(a)
+        for _ in range(rng.randrange(7)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = [rng.randrange(kinds) + 1] * rng.randrange(2)
+        pairs += [(a, b[: rng.choice([10, 28, 53])])]
+    words = np.array([w for ab in pairs for own in ab for w in own], np.uint32)
+    sizes = np.array([len(own) for ab in pairs for own in ab])
+    starts = np.cumsum(sizes) - sizes
+    on = substring_dedup.reaches(words, starts[::2], starts[1::2], sizes[::2], sizes[1::2], 1)
+    back = substring_dedup.reaches(words, (starts + sizes - 1)[::2], (starts + sizes - 1)[1::2], sizes[::2], sizes[1::2], -1)
+    assert [tuple(r) for r in on[:3].T] == [substring_dedup.reach(a, b) for a, b in pairs]
+    assert [tuple(r) for r in back[:3].T] == [substring_dedup.reach(a[::-1], b[::-1]) for a, b in pairs]
+
+
 def test_passages_odd(spark, odd):
     """Null ids, long texts, repeated rows, and ties between the first documents; a null id comes last of all."""
     passage = " ".join(f"p{i}" for i in range(60))
