@@ -410,6 +410,34 @@ def test_passages_of_a_short_line_alone(spark, monkeypatch):
     assert {(r.doc, r.other) for r in made["late-chains"].collect()} == {(200, 100)}
 
 
+def test_passages_of_two_short_lines_far_apart(spark, monkeypatch):
+    """Texts that share two lines with other words between pass no comparison; a longer edited passage with both is found."""
+    made = {}
+    monkeypatch.setattr(substring_dedup, "stored", lambda df, name, *a, own=substring_dedup.stored: made.setdefault(name, own(df, name, *a)) if name == "alike-texts" else own(df, name, *a))
+    rng = random.Random(35)
+    new = lambda n: [f"q{rng.randrange(10**7)}" for _ in range(n)]
+    one, two, others = new(14), new(14), [new(17) for _ in range(3)]
+    edited = lambda: [w for piece in [one, *others, two] for w in [*piece, *new(1)]]
+    texts = [(i, new(40) + one + new(54) + two + new(40)) for i in range(30)] + [(50 + i, new(40) + piece + new(40)) for i, piece in enumerate(others)]
+    texts += [(100, new(30) + edited() + new(30)), (200, edited() + new(50))]
+    found = [(r.doc_id, r.other_id) for r in repeated_passages(rows(spark, *((i, " ".join(w)) for i, w in texts))).collect()]
+    assert found == [(200, 100)]
+    assert made["alike-texts"].count() == 1
+
+
+def test_words_in_common():
+    """Bits of words never tell of fewer words in common than there are."""
+    rng = random.Random(36)
+    texts = [[rng.randrange(most) for _ in range(rng.randrange(6, 140))] for most in (40, 300, 10**9) for _ in range(40)]
+    words, sizes = np.array([w for t in texts for w in t], np.uint32), np.array([len(t) for t in texts])
+    ends, at = np.cumsum(sizes), np.arange(len(texts))
+    held = substring_dedup.word_bits(words, ends - sizes, ends)
+    a, b = (c.ravel() for c in np.meshgrid(at, at))
+    most = substring_dedup.in_common(held, sizes[a], sizes[b], a, b, np.arange(len(a)))
+    for i, j, n in zip(a.tolist(), b.tolist(), most.tolist(), strict=True):
+        assert common(texts[i], texts[j]) <= n <= min(sizes[i], sizes[j])
+
+
 def test_reaches():
     """All pairs at once go as far as one by one, in both directions."""
     rng = random.Random(34)
